@@ -141,6 +141,14 @@ CONTENT_PATTERNS = {
         r"\b(?:verification|security|login|sign-in|authentication|mfa|2fa|one-time)\s+codes?\s+(?:you\s+received|we\s+(?:just\s+)?sent|sent\s+to\s+your)",
     ],
 }
+# Words of which each text that a pattern above matches holds at least one.
+CONTENT_PATTERN_WORDS = {
+    "urgency": ["urgent", "required", "hour", "minute"],
+    "credential_request": ["sign", "log"],
+    "payment_change": ["account", "new", "updated", "changed", "different"],
+    "gift_card": [],
+    "mfa_code_request": ["code"],
+}
 CONTENT_SEVERITY = {
     "urgency": 2, "credential_request": 2, "payment_change": 3, "gift_card": 3, "mfa_code_request": 3,
 }
@@ -151,6 +159,8 @@ LOGIN_PATH = "log-?in|sign-?in|sign-?on|verif(?:y|ication)|account|password|pass
 # A password handed over in the mail itself.
 PASSWORD_IN_MAIL = r"\b(?:password|passcode|pwd|has[łl]o)(?:\s+(?:for|to|do)(?:\s+\w+){1,2})?\s*(?::|=|\bis\b|\bto\b)\s*\S+"
 
+PASSWORD_WORDS = ["password", "passcode", "pwd", "hasł", "haslo"]
+
 # --- look-alike characters -----------------------------------------------------------------------
 LOOKALIKE_PAIRS = [("rn", "m"), ("vv", "w"), ("cl", "d")]
 LOOKALIKE_CHARS = "0135@аеорсхуіѕјԁһοα"

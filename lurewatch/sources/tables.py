@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import reference_lists as lists
 from lurewatch.functions import urls as url_fn
+from lurewatch.session import cut_lineage
 from lurewatch.sources.lures import COLUMNS, DEPARTMENTS, FIRST_NAMES, KINDS, LURES
 
 LURE_SCHEMA = ", ".join(
@@ -249,5 +250,20 @@ class Tables:
             "doc_id", "text", "source", F.col("toxic").alias("label"), "quality"
         )
 
+    @cached_property
+    def detected(self) -> DataFrame:
+        """Signals per mail, kept in the shared folder: ids, times and signals, no bodies. Campaigns,
+        incidents and dashboards start from this table, as they would on a cluster."""
+        from lurewatch.operators import rules
+
+        return cut_lineage(rules.detected(self.messages, self.employees, rules.blocklist(self.spark)))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """(message_id, recipient_id, received_at, signals, unchecked, score, risk, rules_fired)."""
+        from lurewatch.operators import fusion
+
+        return fusion.fuse(self.detected)
+
     def hosts_of(self, links: DataFrame) -> DataFrame:
         return links.withColumn("host", url_fn.host(F.col("url")))
