@@ -6,7 +6,7 @@ import importlib
 
 from lurewatch.plans.registry import QUERIES, Query, oracle_text
 
-MODULES = ("sql", "detection")
+MODULES = ("sql", "detection", "campaigns")
 
 
 def _load() -> None:

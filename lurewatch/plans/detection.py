@@ -29,14 +29,11 @@ oracle_view("v_auth", "SELECT message_id, domain, " + ", ".join(f"{e} AS {m}" fo
 _SIGNED = ("list_filter(list_transform(string_split(body_text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(160) || chr(12288))), "
            "lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^sent from my\\b'))")
 oracle_view("v_signed", f"SELECT message_id, {_SIGNED}[-2:] AS signed FROM v_message")
-_BRAND_ROWS = ", ".join(
-    f"({i}, {sql.lit(key)}, {sql.lit(name)}, {sql.lit(sql.words(words))}, {sql.array(domains)})"
-    for i, (key, name, words, domains) in enumerate(lists.BRANDS)
-)
-oracle_view("v_brand", f"SELECT * FROM (VALUES {_BRAND_ROWS}) AS t(ord, key, name, pattern, domains)")
 _FREE = sql.values_in(lists.FREEMAIL)
-oracle_view("v_named", "SELECT message_id, ord, key, name, list_contains(domains, reg) AND reg NOT IN " + _FREE + " AS official "
-            "FROM v_fact, v_brand WHERE regexp_matches(coalesce(sender_name, ''), pattern)")
+oracle_view("v_named", " UNION ALL ".join(
+    f"SELECT message_id, {i} AS ord, {sql.lit(key)} AS key, reg IN {sql.values_in(domains)} AND reg NOT IN {_FREE} AS official "
+    f"FROM v_fact WHERE regexp_matches(coalesce(sender_name, ''), {sql.lit(sql.words(words))})"
+    for i, (key, _, words, domains) in enumerate(lists.BRANDS)))
 
 SIG: dict[str, str] = {}
 
@@ -55,14 +52,14 @@ _sig("header.return_path", "return_path_mismatch", 1, "FROM v_fact WHERE domain
 _sig("sender.brand_name", "brand_impersonation", 3,
      "FROM v_fact WHERE domain <> '' AND message_id IN (SELECT message_id FROM v_named) "
      "AND message_id NOT IN (SELECT message_id FROM v_named WHERE official)")
-oracle_view("v_content_brand", f"""
-SELECT f.message_id, b.ord, regexp_matches(array_to_string(s.signed, chr(10)), b.pattern) AS signed,
-  row_number() OVER (PARTITION BY f.message_id ORDER BY b.ord) AS rn
-FROM v_fact f JOIN v_signed s USING (message_id), v_brand b
+oracle_view("v_content_brand", "SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ord) AS rn FROM (" + " UNION ALL ".join(f"""
+SELECT f.message_id, {i} AS ord, regexp_matches(array_to_string(s.signed, chr(10)), {sql.lit(sql.words(words))}) AS signed
+FROM v_fact f JOIN v_signed s USING (message_id)
 WHERE f.domain <> '' AND f.reg <> '{lists.ORG_DOMAIN}' AND f.message_id NOT IN (SELECT message_id FROM v_named)
-  AND (regexp_matches(array_to_string(s.signed, chr(10)), b.pattern) OR regexp_matches(f.subject, b.pattern))
-  AND NOT (list_contains(b.domains, f.reg) AND f.reg NOT IN {_FREE})
-  AND EXISTS (SELECT 1 FROM v_linkfact l WHERE l.message_id = f.message_id AND l.host <> '' AND NOT list_contains(b.domains, l.reg))""")
+  AND (regexp_matches(array_to_string(s.signed, chr(10)), {sql.lit(sql.words(words))}) OR regexp_matches(f.subject, {sql.lit(sql.words(words))}))
+  AND NOT (f.reg IN {sql.values_in(domains)} AND f.reg NOT IN {_FREE})
+  AND EXISTS (SELECT 1 FROM v_linkfact l WHERE l.message_id = f.message_id AND l.host <> '' AND l.reg NOT IN {sql.values_in(domains)})"""
+    for i, (_, _, words, domains) in enumerate(lists.BRANDS)) + ")")
 _sig("sender.brand_content", "brand_impersonation", "CASE WHEN signed THEN 2 ELSE 1 END", "FROM v_content_brand WHERE rn = 1")
 _ROLE = [r"\b(" + "|".join(lists.ROLE_ACRONYMS) + r")\b", sql.words(lists.ROLE_PHRASES), sql.words(lists.BRANDS[1][2])]
 _role = lambda x: "(" + " OR ".join(f"regexp_matches({x}, {sql.lit(p)})" for p in _ROLE) + ")"

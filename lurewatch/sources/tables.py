@@ -265,5 +265,24 @@ class Tables:
 
         return fusion.fuse(self.detected)
 
+    @cached_property
+    def suspicious(self) -> DataFrame:
+        """Matching features of the mails at HIGH or above; the others are never clustered."""
+        from lurewatch.operators import campaigns
+
+        high = self.scored.where("risk >= 2").select("message_id")
+        return cut_lineage(campaigns.features(self.messages.join(high, "message_id", "left_semi")))
+
+    @cached_property
+    def campaign_of(self) -> DataFrame:
+        """(message_id, campaign_id), kept in the shared folder."""
+        from lurewatch.operators import campaigns
+
+        return cut_lineage(campaigns.clusters(self.suspicious))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self.suspicious.join(self.campaign_of, "message_id")
+
     def hosts_of(self, links: DataFrame) -> DataFrame:
         return links.withColumn("host", url_fn.host(F.col("url")))
