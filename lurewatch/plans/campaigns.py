@@ -133,12 +133,15 @@ def _common_urls(t: Tables) -> DataFrame:
 query("set_intersect_urls", "SELECT * FROM v_common")(_common_urls)
 
 
-@query("agg_trait_links", """
-WITH h AS (SELECT campaign_id, host, count(*) AS c, any_value(n) AS n, row_number() OVER (PARTITION BY campaign_id ORDER BY count(*) DESC, host) AS rn
+oracle_view("v_hostrank", """
+SELECT campaign_id, host, count(*) AS c, any_value(n) AS n, row_number() OVER (PARTITION BY campaign_id ORDER BY count(*) DESC, host) AS rn
   FROM v_mhost JOIN v_campaign USING (message_id) JOIN v_msize USING (campaign_id)
-  WHERE campaign_id NOT IN (SELECT campaign_id FROM v_common) GROUP BY campaign_id, host)
+  WHERE campaign_id NOT IN (SELECT campaign_id FROM v_common) GROUP BY campaign_id, host""")
+
+
+@query("agg_trait_links", """
 SELECT campaign_id, CASE WHEN c = n THEN 'Same link target in all ' || n || ' messages: ' || host
-  ELSE 'Link target ' || host || ' in ' || c || ' of ' || n || ' messages' END AS trait FROM h WHERE rn <= 2 AND c * 2 >= n
+  ELSE 'Link target ' || host || ' in ' || c || ' of ' || n || ' messages' END AS trait FROM v_hostrank WHERE rn <= 2 AND c * 2 >= n
 UNION ALL SELECT campaign_id, 'Same link in all ' || n || ' messages: ' || url FROM v_common JOIN v_msize USING (campaign_id)""")
 def agg_trait_links(t: Tables) -> DataFrame:
     sizes, common = _sizes(t), _common_urls(t)
