@@ -6,7 +6,7 @@ import importlib
 
 from lurewatch.plans.registry import QUERIES, Query, oracle_text
 
-MODULES = ("sql", "detection", "campaigns", "scalars")
+MODULES = ("sql", "detection", "campaigns", "scalars", "incidents")
 
 
 def _load() -> None:

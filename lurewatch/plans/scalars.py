@@ -21,6 +21,14 @@ def on_links(name: str, oracle: str | None, out: str, build) -> None:
     query(name, oracle)(lambda t: t.links.select("link_id", build(F.col("url")).alias(out)))
 
 
+def received_at(date: Column, ingested: Column) -> Column:
+    """A Date header as a time; the ingest time when it cannot be read. Without a zone it is UTC."""
+    plain = F.regexp_replace(F.trim(date), r"^[A-Za-z]{3},\s*|\s*\([^)]*\)$", "")
+    return F.coalesce(
+        F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss")), ingested
+    )
+
+
 _H = sql.host("url")
 oracle_view("v_urlhost", f"SELECT link_id, url, {_H} AS host FROM v_url")
 query("fn_domain_of", f"SELECT message_id, {sql.domain('sender')} AS domain FROM v_message")(
@@ -145,9 +153,8 @@ query("parse_recipients", "SELECT message_id, 'user' || recipient_id || '@" + li
         F.split(F.concat_ws(", ", F.array_join("recipients", ","), F.upper(F.array_join("recipients", ","))), ","),
         lambda a: F.lower(F.trim(a)))), ",").alias("recipients")))
 query("received_at", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '2024-02-01 00:00:00' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS received_at FROM events")(
-    lambda t: t.read("events").select("event_id", F.date_format(F.coalesce(
-        F.try_to_timestamp(F.when(F.col("event_id") % 7 == 0, "no date").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss Z")),
-                           F.lit("EEE, dd MMM yyyy HH:mm:ss Z")),
+    lambda t: t.read("events").select("event_id", F.date_format(received_at(
+        F.when(F.col("event_id") % 7 == 0, "no date").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss Z")),
         F.lit("2024-02-01 00:00:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("received_at")))
 query("message_key", "SELECT message_id, 'eml-' || sha256('<' || message_id || '@mail>|user' || recipient_id || '@" + lists.ORG_DOMAIN + "')[:16] AS key FROM v_message")(
     lambda t: t.messages.select("message_id", F.concat(F.lit("eml-"), F.substring(F.sha2(F.concat(

@@ -284,5 +284,22 @@ class Tables:
     def members(self) -> DataFrame:
         return self.suspicious.join(self.campaign_of, "message_id")
 
+    @cached_property
+    def exposures(self) -> DataFrame:
+        """Evidence that opens or raises an incident, routed. Kept in the shared folder."""
+        from lurewatch.operators import incidents
+
+        routed = incidents.route(
+            self.evidence, self.scored.select("message_id", "risk"), self.campaign_of, self.linked_campaign_mail
+        )
+        return cut_lineage(routed)
+
+    @cached_property
+    def linked_campaign_mail(self) -> DataFrame:
+        """(employee_id, received_at, message_id, campaign_id) of campaign mails that carry a link."""
+        return self.members.where(F.size("links") > 0).select(
+            F.col("recipient_id").alias("employee_id"), "received_at", "message_id", "campaign_id"
+        )
+
     def hosts_of(self, links: DataFrame) -> DataFrame:
         return links.withColumn("host", url_fn.host(F.col("url")))
