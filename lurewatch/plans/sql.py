@@ -149,6 +149,6 @@ FROM (SELECT *, CASE event_type {_cases} END AS kind FROM events), v_size""")
 oracle_view("v_action", f"""
 SELECT o_orderkey AS action_id, {array(ACTIONS)}[CAST(o_orderkey % 9 AS INTEGER) + 1] AS action,
   (o_orderkey * 13) % n_messages AS message_id, (o_orderkey * 11) % n_recipients AS employee_id,
-  o_custkey % n_employees AS approved_by, TIMESTAMP '2024-01-01 00:00:00' + to_seconds((o_orderkey * 977) % 345600) AS at
+  o_custkey % n_employees AS approved_by, TIMESTAMP '2024-01-01 00:00:00' + to_seconds((o_orderkey * 977) % 345600) AS acted
 FROM orders, v_size""")
 oracle_view("v_labelled", "SELECT doc_id, text, source, toxic AS label, quality FROM labels JOIN documents USING (doc_id)")
