@@ -6,7 +6,7 @@ import importlib
 
 from lurewatch.plans.registry import QUERIES, Query, oracle_text
 
-MODULES = ("sql", "detection", "campaigns", "scalars", "incidents", "response", "learning")
+MODULES = ("sql", "detection", "campaigns", "scalars", "incidents", "response", "learning", "live")
 
 
 def _load() -> None:

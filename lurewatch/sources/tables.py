@@ -63,6 +63,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream."""
+        return self.spark.readStream.schema(self.read(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
     @cached_property
     def message_count(self) -> int:
         return self.read("documents").count()
@@ -94,6 +98,9 @@ class Tables:
 
     @cached_property
     def messages(self) -> DataFrame:
+        return self.messages_of(self.read("documents"))
+
+    def messages_of(self, documents: DataFrame) -> DataFrame:
         """One parsed mail per document. The 24 wrappers are a fixed small table, so they are broadcast."""
         doc = F.col("doc_id")
         group = F.floor(doc / 96).cast("string")
@@ -104,7 +111,7 @@ class Tables:
             value = F.replace(F.col(name), F.lit("{g}"), group)
             return F.replace(value, F.lit("{p}"), spread)
 
-        joined = self.read("documents").join(
+        joined = documents.join(
             F.broadcast(self.lures.withColumnRenamed("kind", "lure_kind")), F.col("doc_id") % KINDS == F.col("lure_kind")
         )
         recipient = doc % self.recipient_count
@@ -206,6 +213,9 @@ class Tables:
 
     @cached_property
     def evidence(self) -> DataFrame:
+        return self.evidence_of(self.read("events"))
+
+    def evidence_of(self, events: DataFrame) -> DataFrame:
         """What was observed, one row per event."""
         kind = F.element_at(F.create_map(*[F.lit(x) for pair in EVIDENCE_KINDS.items() for x in pair]), F.col("event_type"))
         event = F.col("event_id")
@@ -215,7 +225,7 @@ class Tables:
             F.concat(F.lit("login.micr0soft-alerts"), (event % 10).cast("string"), F.lit(".test"))
         )
         return (
-            self.read("events").withColumn("kind", kind).select(
+            events.withColumn("kind", kind).select(
                 event.alias("evidence_id"),
                 "kind",
                 F.col("user_id").alias("employee_id"),
