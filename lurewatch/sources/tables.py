@@ -232,7 +232,7 @@ class Tables:
                 F.when(about_mail, event % self.message_count).alias("message_id"),
                 F.when(F.col("kind") == "password_reuse", typed_on).alias("domain"),
                 F.when(F.col("kind") == "user_report", "reported").otherwise("automatic").alias("source"),
-                F.col("ts"),
+                F.col("ts").cast("timestamp").alias("ts"),
                 F.when(
                     F.col("kind") == "user_report",
                     F.get(F.array(*map(F.lit, INTERACTIONS)), (event % 5).cast("int")),
