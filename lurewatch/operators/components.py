@@ -1,8 +1,9 @@
 """Connected components by contraction.
 
-Every round each node joins its smallest neighbour and the edge list is rewritten to the survivors, so the
-list at least halves per round. Each round is two joins and a minimum per node, which combines map-side;
-no neighbour list is ever collected. Rounds are checkpointed.
+Every round each node points to its smallest neighbour, pointers are followed to their ends by doubling, and
+the edge list is rewritten to the survivors. Only nodes that were smallest among their neighbours survive,
+so at most half of the connected nodes are left per round, and a long chain collapses in one. Rounds are
+joins and a minimum per node, which combines map-side; no neighbour list is ever collected.
 """
 
 from __future__ import annotations
@@ -13,6 +14,16 @@ from pyspark.sql import functions as F
 from lurewatch.session import cut_lineage
 
 
+def _followed(pointers: DataFrame) -> DataFrame:
+    """pointers(component, root) with every pointer followed to its end; the distance doubles per step."""
+    while True:
+        ends = pointers.select(F.col("component").alias("root"), F.col("root").alias("end"))
+        step = cut_lineage(pointers.join(ends, "root").select("component", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")))
+        pointers = step.select("component", "root")
+        if step.where("moved").isEmpty():
+            return pointers
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component); the component is its smallest node. Isolated nodes are not listed."""
     edges = cut_lineage(edges.select("a", "b").where("a <> b").distinct())
@@ -21,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        smallest = cut_lineage(smallest.select(F.col("a").alias("component"), "root"))
+        smallest = _followed(cut_lineage(smallest.select(F.col("a").alias("component"), "root")))
         mapping = cut_lineage(
             mapping.join(smallest, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
         )
