@@ -22,10 +22,10 @@ from lurewatch.llm.common import let, stored, words_of
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of the corpus languages.
 STOP_WORDS = (
-    "the of and to in that is was for with "
-    "le la les des une est que dans pour sur "
-    "der die das und von mit auf für ist ein "
-    "el los las que por una con del su en").split()
+    "the of and to in that is was for with a it this "
+    "le la les des une est que dans pour sur de et un en "
+    "der die das und von mit auf für ist ein eine zu den "
+    "el los las que por una con del su y se es").split()
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ROUNDS, THRESHOLD = 60, 0.5
 PRIOR_GOOD, PRIOR_RIGHT, PRIOR_WEIGHT = 0.8, 0.8, 4.0
@@ -68,7 +68,8 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size(lines_of(F.col("body"))).alias("n_lines"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
-        F.size(F.array_intersect(F.col("words"), F.array(*map(F.lit, STOP_WORDS)))).alias("n_stop"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop"),
+        F.regexp_count("body", F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).alias("n_bare"),
         F.length(F.regexp_replace("body", r"[^\p{L}]+", "")).alias("n_letters"),
     )
 
@@ -92,8 +93,9 @@ RULES = (
     Rule("word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("repeated_lines", "n_lines >= 4 AND n_dup_lines = 0", "n_dup_lines > 0.3 * n_lines"),
     Rule("repeated_windows", "n_words >= 50 AND n_repeat_words <= 0.15 * n_words", "n_repeat_words > 0.3 * n_words"),
-    Rule("function_words", "n_stop >= 3", "n_words >= 30 AND n_stop = 0"),
-    Rule("letters", "n_letters >= 0.8 * word_chars AND n_words > 0", "n_letters < 0.65 * word_chars"),
+    Rule("function_words", "n_words >= 20 AND n_stop >= 0.08 * n_words", "n_words >= 30 AND n_stop < 0.03 * n_words"),
+    Rule("letters", "n_letters >= 0.85 * word_chars AND n_words > 0", "n_letters < 0.70 * word_chars"),
+    Rule("bare_symbols", "n_words > 0 AND n_bare <= 0.08 * n_words", "n_bare > 0.2 * n_words"),
     Rule("vocabulary", "n_words >= 50 AND n_distinct >= 0.3 * n_words", "n_words >= 50 AND n_words < 1000 AND n_distinct < 0.2 * n_words"),
 )
 
