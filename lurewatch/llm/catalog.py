@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import language, pieces, quality, secrets
+from lurewatch.llm import language, pieces, quality, secrets, sketches
 from lurewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op5_weak_supervision": _over("documents", quality.digest),
         "op6_word_backoff": _over("documents", language.digest),
         "op9_sampled_pieces": _over("documents", pieces.digest),
+        "op10_setsketch": _over("documents", sketches.digest),
     }
 
 
