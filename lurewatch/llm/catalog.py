@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import language, mixing, pieces, quality, secrets, sketches
+from lurewatch.llm import language, mixing, pieces, quality, secrets, sketches, vectors
 from lurewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_int8_tiles": _over("embeddings", vectors.digest),
         "op4_guess_cost": _over("documents", secrets.digest),
         "op5_weak_supervision": _over("documents", quality.digest),
         "op6_word_backoff": _over("documents", language.digest),
