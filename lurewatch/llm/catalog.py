@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import language, mixing, pieces, quality, secrets, sketches, vectors
+from lurewatch.llm import language, mixing, pieces, quality, secrets, sketches, vectors, warc
 from lurewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op4_guess_cost": _over("documents", secrets.digest),
         "op5_weak_supervision": _over("documents", quality.digest),
         "op6_word_backoff": _over("documents", language.digest),
+        "op7_warc_revisits": _over("pages", warc.digest),
         "op8_pfair": _over("documents", mixing.digest),
         "op9_sampled_pieces": _over("documents", pieces.digest),
         "op10_setsketch": _over("documents", sketches.digest),
