@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import extraction, language, mixing, pieces, quality, secrets, sketches, vectors, warc
+from lurewatch.llm import extraction, language, language_model, mixing, pieces, quality, secrets, sketches, vectors, warc
 from lurewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_crf_extraction": _over("pages", extraction.digest),
         "op2_int8_tiles": _over("embeddings", vectors.digest),
+        "op3_gru": _over("documents", language_model.digest),
         "op4_guess_cost": _over("documents", secrets.digest),
         "op5_weak_supervision": _over("documents", quality.digest),
         "op6_word_backoff": _over("documents", language.digest),

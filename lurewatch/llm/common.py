@@ -46,3 +46,26 @@ def let(value: Column, body) -> Column:
 def learned_from(key: Column, modulus: int) -> Column:
     """Whether a row may be learned from: crc32 of its id as text leaves another remainder than 2."""
     return F.crc32(key.cast("string").cast("binary")) % modulus != 2
+
+
+def most_frequent(counted: DataFrame, by: list[str], item: str, keep: int) -> DataFrame:
+    """About the ``keep`` most frequent items (column n) of each group. A histogram of log counts, some hundred rows a
+    group, gives the lowest level that is kept; of that level as large a hash share as there is room for."""
+    level = F.floor(F.log2(F.col("n")) * 8)
+    levels: dict[tuple, list[tuple[int, int]]] = {}
+    for row in counted.groupBy(*by, level.alias("level")).agg(F.count("*").alias("k")).collect():
+        levels.setdefault(tuple(row[b] for b in by), []).append((row["level"], row["k"]))
+    cuts = []
+    for group, own in levels.items():
+        room = keep
+        for low, k in sorted(own, reverse=True):
+            cut = (*group, low, min(1.0, room / k))
+            room -= k
+            if room <= 0:
+                break
+        cuts.append(cut)
+    kinds = "".join(f"{b} {dict(counted.dtypes)[b]}, " for b in by)
+    table = counted.sparkSession.createDataFrame(cuts, f"{kinds}__low long, __share double")
+    joined = counted.join(F.broadcast(table), by) if by else counted.crossJoin(F.broadcast(table))  # a row for each group
+    share = F.pmod(F.xxhash64(item), F.lit(1_000_003)) / 1_000_003.0
+    return joined.where((level > F.col("__low")) | (level == F.col("__low")) & (share < F.col("__share"))).drop("__low", "__share")

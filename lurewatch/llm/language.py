@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import learned_from
+from lurewatch.llm.common import learned_from, most_frequent
 
 #: Bounds of the fitted model, all per language: rows learned from, words and n-grams of each order that are kept.
 SAMPLE_ROWS, WORDS, GRAMS = 4000, 30_000, 20_000
@@ -67,29 +67,6 @@ def split_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "order", "gram", "n"])
 
 
-def _most(counted: DataFrame, by: list[str], keep: int) -> DataFrame:
-    """The ``keep`` most frequent of each group and the group's total, without a window over a whole group: first the
-    smallest count that can be among them is bounded from a histogram of log counts."""
-    level = F.floor(F.log2(F.col("n")) * 8)
-    histogram = counted.groupBy(*by, level.alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("mass"))
-    rows = defaultdict(list)
-    for row in histogram.collect():  # at most 8 * 63 levels per language and order
-        rows[tuple(row[b] for b in by)].append((row["level"], row["k"], row["mass"]))
-    cuts = []
-    for group, levels in rows.items():
-        kept, cut = 0, None
-        for lev, k, _ in sorted(levels, reverse=True):
-            if cut is not None and kept + k > keep:
-                break
-            kept, cut = kept + k, lev
-        cuts.append((*group, cut, sum(m for *_, m in levels)))
-    if not cuts:
-        return counted.withColumn("total", F.lit(0)).limit(0)
-    kinds = ", ".join(f"{b} {dict(counted.dtypes)[b]}" for b in by)
-    cut_table = counted.sparkSession.createDataFrame(cuts, f"{kinds}, cut long, total long")
-    return counted.join(F.broadcast(cut_table), by).where(level >= F.col("cut")).drop("cut")
-
-
 @dataclass
 class Model:
     """languages in order; word and n-gram rows of log probabilities; what an unseen single character scores."""
@@ -123,11 +100,14 @@ def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS
     counted = (rows.where(picked).select("lang", "text").mapInPandas(count_words, "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n"))).cache()
     grams = counted.mapInPandas(split_words, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(
-        F.sum("n").alias("n"))
+        F.sum("n").alias("n")).cache()
     languages = sorted(sizes)
-    words = [tuple(r) for r in _most(counted, ["lang"], WORDS).select("lang", "gram", "n", "total").collect()]
-    kept = [tuple(r) for r in _most(grams, ["lang", "order"], GRAMS).select("lang", "order", "gram", "n", "total").collect()]
+    word_total = {(r[0],): r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
+    gram_total = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", "order").agg(F.sum("n")).collect()}
+    words = [(*r, word_total[r[0],]) for r in most_frequent(counted, ["lang"], "gram", WORDS).select("lang", "gram", "n").collect()]
+    kept = [(*r, gram_total[r[0], r[1]]) for r in most_frequent(grams, ["lang", "order"], "gram", GRAMS).select("lang", "order", "gram", "n").collect()]
     counted.unpersist()
+    grams.unpersist()
     tables, floor = {}, np.zeros(len(languages))
     for order in ORDERS:
         own, low = _table([(lang, gram, n, total) for lang, o, gram, n, total in kept if o == order], languages)
