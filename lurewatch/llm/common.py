@@ -55,7 +55,7 @@ def most_frequent(counted: DataFrame, by: list[str], item: str, keep: int) -> Da
     levels: dict[tuple, list[tuple[int, int]]] = {}
     for row in counted.groupBy(*by, level.alias("level")).agg(F.count("*").alias("k")).collect():
         levels.setdefault(tuple(row[b] for b in by), []).append((row["level"], row["k"]))
-    cuts = []
+    cuts = [] if levels or by else [(0, 1.0)]
     for group, own in levels.items():
         room = keep
         for low, k in sorted(own, reverse=True):
@@ -64,8 +64,11 @@ def most_frequent(counted: DataFrame, by: list[str], item: str, keep: int) -> Da
             if room <= 0:
                 break
         cuts.append(cut)
-    kinds = "".join(f"{b} {dict(counted.dtypes)[b]}, " for b in by)
-    table = counted.sparkSession.createDataFrame(cuts, f"{kinds}__low long, __share double")
-    joined = counted.join(F.broadcast(table), by) if by else counted.crossJoin(F.broadcast(table))  # a row for each group
+    if by:
+        kinds = "".join(f"{b} {dict(counted.dtypes)[b]}, " for b in by)
+        table = counted.sparkSession.createDataFrame(cuts, f"{kinds}__low long, __share double")
+        joined = counted.join(F.broadcast(table), by)  # a row for each group
+    else:
+        joined = counted.select("*", F.lit(cuts[0][-2]).alias("__low"), F.lit(cuts[0][-1]).alias("__share"))
     share = F.pmod(F.xxhash64(item), F.lit(1_000_003)) / 1_000_003.0
     return joined.where((level > F.col("__low")) | (level == F.col("__low")) & (share < F.col("__share"))).drop("__low", "__share")
