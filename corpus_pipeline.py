@@ -15,17 +15,14 @@ from pyspark.sql import functions as F
 from lurewatch.llm import language, mixing, pieces, secrets, sketches
 from lurewatch.llm.common import stored, table
 
-#: A text whose best language is less likely than this is rejected.
-MIN_LANGUAGE_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter, or between languages, go."""
+    """Documents that have a language; those without a letter are rejected. A short text between two languages stays."""
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").alias("__text"))
     model = language.fit(docs.select("doc_id", "text", "lang"))
     found = language.predict(own, model, text="__text")
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("__row.*")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
