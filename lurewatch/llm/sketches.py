@@ -6,11 +6,14 @@ become more likely with their Jaccard similarity, and the registers of a union a
 
 1. Equal sets are one class from the start, so copies never meet one another.
 2. ``BANDS`` bands of ``ROWS`` registers each put a class into buckets. A pair at similarity 0.8 shares a bucket with
-   probability 1 - 8e-7. A class is first compared with the leader that it shares most buckets with, so a large group of
-   near copies costs one comparison each; then once more with other leaders; and at last every pair of classes that
-   share a bucket, but no component yet, is compared. Buckets that have come together in one component drop out.
-3. Before the last step's pairs fetch their sets, a likelihood estimate from the registers and the known set sizes
-   drops those that are more than ``SIGMAS`` standard errors below the threshold.
+   probability 1 - 8e-7. Classes that share two neighbouring bands are compared with a few leaders of their group first,
+   so a large group of near copies costs a few comparisons each; then, ``ROUNDS`` times, with those of some members of
+   other components in their buckets that their registers' last bits are closest to. Buckets that have come together in
+   one component drop out. In what is left every pair of classes from different components is compared: large buckets
+   chunk against chunk, with one link kept for each pair of components; small ones pair by pair.
+3. Pairs of small buckets have to pass cheaper tests first: within the join by set sizes, by the shingles that no other class that is
+   left has (exact bounds), and by the registers' last bits, then by a likelihood estimate from the registers and the
+   known set sizes. The latter two leave out only what is more than ``SIGMAS`` standard errors below the threshold.
 4. Every link is confirmed on the full sets.
 
 Defined results: a text that is null or has no words is empty and linked with nothing (component_id = its own id); one
@@ -28,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +41,12 @@ from lurewatch.operators.components import connected_components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, BASE, LEVELS = 60, 7, 1.001, 65_535
 ESTIMATE_REGISTERS, SIGMAS = 128, 6.0
+DRAWS, TRIES, ROUNDS = 3, 4, 1
+#: Buckets of up to so many classes are compared pair by pair, larger ones in chunks of about so many classes.
+PAIRED, CHUNK, COLUMNS = 32, 512, 8192
 KNOWN_WORDS = 300_000
 _MANY = BANDS * ROWS
+BIT_WORDS = -(-_MANY // 64)
 
 _draw = np.random.default_rng(20240607)
 _FACTORS = _draw.integers(0, 1 << 31, _MANY, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -104,14 +111,21 @@ def band_keys(own: np.ndarray) -> np.ndarray:
         return _mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def last_bits(own: np.ndarray) -> np.ndarray:
+    """The registers' last bits, in BIT_WORDS words."""
+    bits = np.zeros(64 * BIT_WORDS, np.uint8)
+    bits[:_MANY] = own & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch], words: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, node, check, signs, bands = [], [], [], [], []
+        sizes, node, check, signs, bands, bits = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
             own = shingle_set(text, words)
             sizes.append(len(own))
             if not len(own):
-                for column in (node, check, signs, bands):
+                for column in (node, check, signs, bands, bits):
                     column.append(None)
                 continue
             both = xxhash.xxh3_128_digest(own.tobytes())
@@ -120,17 +134,18 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, names: list[str]) -
             found = registers(own)
             signs.append(found[:ESTIMATE_REGISTERS].tobytes())
             bands.append(band_keys(found))
+            bits.append(last_bits(found))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()),
-             pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
+             pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """id, n, node and check (128 bits that stand for the set), registers and band keys; all null but n without words."""
-    names = ["id", "n", "node", "check", "registers", "bands"]
+    names = ["id", "n", "node", "check", "registers", "bands", "bits"]
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(
-        lambda batches: _sketched(batches, words, names), f"id {kind}, n long, node long, check long, registers binary, bands array<long>")
+        lambda batches: _sketched(batches, words, names), f"id {kind}, n long, node long, check long, registers binary, bands array<long>, bits array<long>")
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
@@ -168,7 +183,15 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
 def _set_rows(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         batch["members"] = [shingle_set(x, words).tobytes() for x in batch["text"]]
-        yield batch[["node", "n", "leader", "members"]]
+        yield batch[["node", "n", "members"]]
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle) of sets(node, n, members), a set at a time."""
+    for batch in batches:
+        for node, members in zip(batch.column("node").to_pylist(), batch.column("members").to_pylist()):
+            own = np.frombuffer(members, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
 
 
 def _closer(similarity: float) -> str:
@@ -182,52 +205,145 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.join(one, "a").join(other, "b").withColumn("shared", _shared("members_a", "members_b")).where(_closer(similarity)).select("a", "b")
 
 
-def _favourite(pairs: DataFrame) -> DataFrame:
-    """pairs(node, leader), once per shared bucket -> for each node the leader that it shares most buckets with."""
-    counted = pairs.groupBy("node", "leader").agg(F.count("*").alias("k"))
-    return counted.groupBy("node").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
+def _leaders(placed: DataFrame) -> DataFrame:
+    """placed(bucket, node) -> pairs(node, leader): of each bucket ``DRAWS`` members are leaders, and a node keeps the
+    ``TRIES`` leaders that it shares most buckets with, which are likely to be the most similar."""
+    drawn = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(k))).alias(f"l{k}") for k in range(DRAWS)]
+    leaders = placed.groupBy("bucket").agg(*drawn, F.count("*").alias("k")).where("k > 1").drop("k")
+    each = placed.join(leaders, "bucket").select("node", F.explode(F.array(*[f"l{k}" for k in range(DRAWS)])).alias("leader"))
+    counted = each.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
+    # A node has DRAWS leaders in each of its buckets at most, so its window is small.
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "leader"))
+    return counted.withColumn("place", place).where(F.col("place") <= TRIES).select("node", "leader")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members(bucket, node, n) of the buckets that hold several components, with the component."""
+def _split(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several components, with the component."""
     found = connected_components(links)
-    own = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    own = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     return own.join(several, "bucket")
 
 
+def _closest(split: DataFrame, signs: DataFrame, number: int, small: int) -> DataFrame:
+    """Pairs(a, b) of each class with up to ``TRIES`` of the members that its buckets draw from other components, those
+    whose last bits are closest."""
+    draw = [F.min_by(F.struct("node", "component"), F.xxhash64("node", "bucket", F.lit(DRAWS * (number + 1) + k))) for k in range(DRAWS)]
+    leaders = split.groupBy("bucket").agg(F.array(*draw).alias("drawn"))
+    each = split.join(leaders, "bucket").select("node", "component", F.explode("drawn").alias("l")).where("l.component <> component").select(
+        F.col("node").alias("a"), F.col("l.node").alias("b")).distinct()
+    side = lambda s: signs.select(*[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in signs.columns])
+    near = each.join(side("a"), "a").join(side("b"), "b").where(_may_link(small)).select("a", "b", F.expr(_unlike()).alias("unlike"))
+    # A class has DRAWS leaders in each of its buckets at most, so its window is small.
+    place = F.row_number().over(Window.partitionBy("a").orderBy("unlike", "b"))
+    return near.withColumn("place", place).where(F.col("place") <= TRIES).select("a", "b")
+
+
+def _unlike() -> str:
+    return " + ".join(f"bit_count(bits{k}_a ^ bits{k}_b)" for k in range(BIT_WORDS))
+
+
+def _may_link(small: int) -> str:
+    """Exact bounds by the sizes and the common shingles, and the last bits: registers that differ do so in their last bit
+    half of the time."""
+    chance = (1 - small / 100) / 2
+    most = math.ceil(_MANY * chance + SIGMAS * math.sqrt(_MANY * chance * (1 - chance)))
+    return (f"100 * least(n_a, n_b) >= {small} * greatest(n_a, n_b) AND {small + 100} * least(common_a, common_b) >= {small} * (n_a + n_b) "
+            f"AND {_unlike()} <= {most}")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a shares with each of b: products of 0/1 matrices over the elements that both sides
+    have, a block of elements at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(all_a, all_b)
+    place_a, place_b = np.searchsorted(both, all_a), np.searchsorted(both, all_b)
+    in_a, in_b = (np.flatnonzero((p < len(both)) & (both[np.minimum(p, len(both) - 1)] == x)) if len(both) else np.zeros(0, int)
+                  for p, x in ((place_a, all_a), (place_b, all_b)))
+    for at in range(0, len(both), COLUMNS):
+        ones = []
+        for rows, place, known, size in ((rows_a, place_a, in_a, len(a)), (rows_b, place_b, in_b, len(b))):
+            here = known[(place[known] >= at) & (place[known] < at + COLUMNS)]
+            block = np.zeros((size, min(COLUMNS, len(both) - at)), np.float32)
+            block[rows[here], place[here] - at] = 1
+            ones.append(block)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _cell(rows: pd.DataFrame, small: int) -> pd.DataFrame:
+    """The links between the two sides of a cell (or within its only side) that join different components: one for each pair
+    of components, which connects what all of them would."""
+    one = rows[rows["side"] == 0].reset_index(drop=True)
+    other = rows[rows["side"] == 1].reset_index(drop=True)
+    if not len(one) or not len(other) and rows["i"].iloc[0] != rows["j"].iloc[0]:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    other = other if len(other) else one
+    sets = [[np.frombuffer(x, np.uint64) for x in side["members"]] for side in (one, other)]
+    n, m = one["n"].to_numpy(float), other["n"].to_numpy(float)
+    close = (100 + small) * overlaps(*sets).astype(np.float64) >= small * (n[:, None] + m[None, :])
+    i, j = np.nonzero(close & (one["component"].to_numpy()[:, None] != other["component"].to_numpy()[None, :]))
+    found = pd.DataFrame({"a": one["node"].to_numpy()[i], "b": other["node"].to_numpy()[j], "c": one["component"].to_numpy()[i], "d": other["component"].to_numpy()[j]})
+    return found.drop_duplicates(["c", "d"])[["a", "b"]].astype("int64")
+
+
+def _in_chunks(left: DataFrame, sets: DataFrame, small: int) -> DataFrame:
+    """Links(a, b) between the components of large buckets. A bucket's largest component is cut into chunks, its other
+    classes too; each chunk of others meets all chunks, but the largest component never meets itself. A cell of two chunks
+    is a task's work of bounded size, so neither a bucket nor its pairs are ever gathered."""
+    mains, others = (F.ceil(c / F.lit(CHUNK)).cast("int") for c in (F.col("mains"), F.col("k") - F.col("mains")))
+    draw = F.xxhash64("bucket", "node")
+    own = left.select("bucket", "node", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(1).alias("role"),
+                      mains.alias("mains"), others.alias("others"))
+    own = own.withColumn("chunk", F.pmod(draw, F.when(F.col("role") == 0, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    to = lambda count: F.sequence(F.lit(0), count - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    chunk, zero, one = F.col("chunk"), F.lit(0), F.lit(1)
+    cells = F.when(F.col("role") == 0, F.transform(to(F.col("others")), lambda j: cell("main", chunk, j, zero))).otherwise(F.concat(
+        F.transform(to(F.col("mains")), lambda i: cell("main", i, chunk, one)),
+        F.transform(to(F.col("others")), lambda u: cell("others", F.least(chunk, u), F.greatest(chunk, u), F.when(chunk <= u, zero).otherwise(one)))))
+    placed = own.select("bucket", "node", "component", F.explode(cells).alias("at")).select("bucket", "node", "component", "at.*")
+    return placed.join(sets, "node").groupBy("bucket", "kind", "i", "j").applyInPandas(lambda rows: _cell(rows, small), "a long, b long").distinct()
+
+
 def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """classes(node, id, n, registers, bands) -> links(a, b) that connect all that all similar pairs of classes would."""
+    """classes(node, id, n, registers, bits, bands) -> links(a, b) that connect all that all similar pairs of classes would."""
     small = round(100 * similarity)
-    placed = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("k")).where("k > 1").drop("k")
+    placed = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     members = stored(placed.join(shared, "bucket"), "buckets")
-    first = _favourite(members.where("node <> leader").select("node", "leader"))
-    touched = members.select("node").distinct().join(first, "node", "left").join(classes.select("node", "id", "n"), "node")
+
+    # Two bands at a time: who shares such a bucket is most likely similar.
+    twice = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode(F.transform(
+        "bands", lambda band, i: F.xxhash64(band, F.get("bands", (i + 1) % BANDS)))).alias("bucket"))
+    tried = stored(_leaders(twice), "tried")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = classes.schema["node"].dataType.simpleString()
-    sets = stored(
-        texts.join(touched, "id").select("node", "n", "leader", "text").mapInPandas(
-            lambda batches: _set_rows(batches, words), f"node {kind}, n long, leader {kind}, members binary"), "sets")
-    with_leader = sets.where("leader IS NOT NULL").select(
-        F.col("node").alias("a"), F.col("leader").alias("b"), F.col("n").alias("n_a"), F.col("members").alias("members_a"))
-    leaders = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("members_b")).join(
-        first.select(F.col("leader").alias("b")).distinct(), "b", "left_semi")
-    links = stored(with_leader.join(leaders, "b").where(f"100 * least(n_a, n_b) >= {small} * greatest(n_a, n_b)").withColumn(
-        "shared", _shared("members_a", "members_b")).where(_closer(similarity)).select("a", "b"), "links")
-
-    left = stored(_labelled(members, links), "split")
-    leader = left.groupBy("bucket").agg(F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", "bucket")).alias("l"))
-    second = left.join(leader, "bucket").where(
-        f"l.component <> component AND 100 * least(l.n, n) >= {small} * greatest(l.n, n)").select("node", F.col("l.node").alias("leader"))
-    pairs = stored(_favourite(second).select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
-    links = stored(links.union(_confirmed(pairs, sets, similarity)), "links")
-
-    left = stored(_labelled(left.select("bucket", "node", "n"), links), "split")
-    one, other = left.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")]), left.select(
-        "bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
-    pairs = one.join(other, "bucket").where(
-        f"node_a < node_b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {small} * greatest(n_a, n_b)").select(
+    wanted = members.select("node").distinct().join(classes.select("node", "id", "n"), "node")
+    sets = stored(texts.join(wanted, "id").select("node", "n", "text").mapInPandas(
+        lambda batches: _set_rows(batches, words), "node long, n long, members binary"), "sets")
+    links = stored(_confirmed(tried.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, similarity), "links")
+
+    split = stored(_split(members, links), "split")
+    signs = classes.select("node", "n", *[f"bits{k}" for k in range(BIT_WORDS)])
+    # What only one of the classes that are left has, none of them shares: that bounds every pair's overlap.
+    alone = sets.join(split.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "node long, shingle long").groupBy(
+        "shingle").agg(F.min("node").alias("node"), F.count("*").alias("k")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    signs = signs.join(split.select("node").distinct(), "node").join(alone, "node", "left").withColumn(
+        "common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(f"100 * common >= {small} * n")
+    signs = stored(signs, "signs")
+    for number in range(ROUNDS):
+        found = _confirmed(stored(_closest(split, signs, number, small), "tried"), sets, similarity)
+        links = stored(links.union(found), "links")
+        split = stored(_split(split.select("bucket", "node"), links), "split")
+    parts = split.groupBy("bucket", "component").agg(F.count("*").alias("own"))
+    sizes = parts.groupBy("bucket").agg(F.sum("own").alias("k"), F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("mains"))
+    left = stored(split.join(sizes, "bucket").join(signs, "node"), "left")
+    found = _in_chunks(left.where(f"k > {PAIRED}"), sets, small)
+    left = left.where(f"k <= {PAIRED}").drop("k", "main", "mains")
+    side = lambda s: left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in left.columns if c != "bucket"])
+    pairs = side("a").join(side("b"), "bucket").where(f"node_a < node_b AND component_a <> component_b AND {_may_link(small)}").select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
     signs = classes.select("node", "registers")
     low = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / ESTIMATE_REGISTERS)
@@ -235,7 +351,7 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, words:
         pairs.join(signs.select(F.col("node").alias("a"), F.col("registers").alias("registers_a")), "a")
         .join(signs.select(F.col("node").alias("b"), F.col("registers").alias("registers_b")), "b")
         .where(_estimate("registers_a", "registers_b", "n_a", "n_b") >= low).select("a", "b"), "pairs")
-    return stored(links.union(_confirmed(pairs, sets, similarity)), "links")
+    return stored(links.union(found).union(_confirmed(pairs, sets, similarity)), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,7 +363,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     drawn = stored(sketches(docs, key, text, words), "sketches")
     classes = stored(
         drawn.where("node IS NOT NULL").groupBy("node", "check").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")).drop("check"),
+            F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
+            *[F.get(F.first("bits"), F.lit(k)).alias(f"bits{k}") for k in range(BIT_WORDS)]).drop("check"),
         "classes")
     found = connected_components(class_links(docs, classes, key, text, words, similarity))
     named = classes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
