@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lurewatch.session import prepare, shared_folder
 
 #: Rows per Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 SPACE = r"[\x20\x09-\x0D]+"
 
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 0
+#: Texts are sampled together up to about so many characters, which bounds the lattices in memory.
+TOGETHER = 400_000
 _PARTS = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+")
 _SPACE, _COVER = "▁", (1 << 21) - 1  # a literal space mark in the text is no piece
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -218,6 +220,16 @@ def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) ->
     return ids.astype(np.int32), np.bincount(row, minlength=len(texts)).astype(np.int64)
 
 
+def _cut(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of rows of about TOGETHER characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= TOGETHER or i + 1 == len(texts):
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, theta: float = THETA, seed: int = SEED) -> DataFrame:
     """Key, n_pieces, pieces (ids) and whether decoding them gave the text back."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(model, theta))  # bounded by the vocabulary file
@@ -228,7 +240,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         spelled = words.spelled
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            ids, counts = sample(words, keys.to_pylist(), [x or "" for x in texts], seed)
+            names, found = keys.to_pylist(), []
+            for part in _cut(texts):
+                found.append(sample(words, names[part], [x or "" for x in texts[part]], seed))
+            ids, counts = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in ((0, np.int32), (1, np.int64)))
             offsets = np.concatenate([[0], np.cumsum(counts)])
             flat = ids.tolist()
             same = [x is None or decode(flat[a:b], spelled) == x for x, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())]
