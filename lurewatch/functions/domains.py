@@ -69,11 +69,11 @@ def punycode_decoded(label: Column) -> Column:
     The bootstring state is folded over the characters behind the last hyphen; code points are kept in
     an array and turned into text at the end.
     """
-    body = F.substring(label, 5, 1000)
+    body = F.substring(label, F.lit(5), F.length(label))
     cut = F.length(body) - F.instr(F.reverse(body), "-")
     has_basic = body.contains("-")
     basic = F.when(has_basic, F.substring(body, F.lit(1), cut)).otherwise("")
-    coded = F.when(has_basic, F.substring(body, cut + 2, F.lit(1000))).otherwise(body)
+    coded = F.when(has_basic, F.substring(body, cut + 2, F.length(body))).otherwise(body)
     start = F.struct(
         F.transform(F.filter(F.split(basic, ""), lambda c: c != ""), F.ascii).alias("out"),
         F.lit(128).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("i"), F.lit(72).cast("bigint").alias("bias"),
@@ -82,11 +82,12 @@ def punycode_decoded(label: Column) -> Column:
 
     def after_delta(s: Column, v: Column) -> Column:
         """The state behind a complete number: one code point is inserted and the bias adapts."""
-        # A label has at most 63 characters, so the division loop runs at most twice.
-        once, twice = F.floor(v["delta"] / 35), F.floor(F.floor(v["delta"] / 35) / 35)
-        rounds = F.when(v["delta"] <= 455, 0).when(once <= 455, 1).otherwise(2)
-        left = F.when(v["delta"] <= 455, v["delta"]).when(once <= 455, once).otherwise(twice)
-        bias = rounds * 36 + F.floor(36 * left / (left + 38))
+        # Divided by 35 until it is small; 13 rounds bring the largest bigint below that.
+        halves = F.aggregate(
+            F.sequence(F.lit(1), F.lit(13)), F.struct(v["delta"].cast("bigint").alias("left"), F.lit(0).alias("rounds")),
+            lambda s, _: F.when(s["left"] <= 455, s).otherwise(F.struct(
+                F.floor(s["left"] / 35).alias("left"), (s["rounds"] + 1).alias("rounds"))))
+        bias = let(halves, lambda s: s["rounds"] * 36 + F.floor(36 * s["left"] / (s["left"] + 38)))
         at = (v["i"] % v["length"]).cast("int")
         code_point = s["n"] + F.floor(v["i"] / v["length"])
         out = F.concat(
@@ -124,7 +125,7 @@ def punycode_decoded(label: Column) -> Column:
 
     points = F.aggregate(F.filter(F.split(coded, ""), lambda c: c != ""), start, step)["out"]
     decoded = F.array_join(
-        F.transform(points, lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 4, "0")), "UTF-16BE")), ""
+        F.transform(points, lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")), ""
     )
     return F.when(label.rlike("^xn--[a-z0-9-]+$"), decoded).otherwise(label)
 

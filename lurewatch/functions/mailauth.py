@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MECHANISMS = ("spf", "dkim", "dmarc")
-_COMMENT_DEPTH = 4
 
 
 def header_values(headers: Column, name: str) -> Column:
@@ -14,10 +13,23 @@ def header_values(headers: Column, name: str) -> Column:
 
 
 def without_comments(value: Column) -> Column:
-    """Drops (comments), nested ones too, because they can quote text of the sender."""
-    for _ in range(_COMMENT_DEPTH):
-        value = F.regexp_replace(value, r"\([^()]*\)", " ")
-    return value
+    """Each (comment) of any depth becomes a space, because comments can quote text of the sender. The texts of the open
+    levels are kept as a stack; a bracket without its partner stays as it is."""
+
+    def onto(levels: Column, piece) -> Column:
+        last = F.size(levels)
+        return F.concat(F.slice(levels, F.lit(1), last - 1), F.array(F.concat(F.get(levels, last - 1), piece)))
+
+    def read(levels: Column, piece: Column) -> Column:
+        closes = (piece == ")") & (F.size(levels) > 1)
+        return (
+            F.when(piece == "(", F.concat(levels, F.array(F.lit(""))))
+            .when(closes, onto(F.slice(levels, F.lit(1), F.greatest(F.size(levels) - 1, F.lit(1))), F.lit(" ")))
+            .otherwise(onto(levels, piece))
+        )
+
+    pieces = F.regexp_extract_all(value, F.lit(r"[()]|[^()]+"), 0)
+    return F.when(value.contains("("), F.array_join(F.aggregate(pieces, F.array(F.lit("")), read), "(")).otherwise(value)
 
 
 def _results_in(value: Column, mechanism: str) -> Column:

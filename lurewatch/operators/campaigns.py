@@ -167,16 +167,14 @@ def pair_score(x: str, y: str, window: int = lists.WINDOW_SECONDS) -> tuple[Colu
 
 
 def traits_wording(members: DataFrame) -> DataFrame:
-    """Mean similarity of the first 30 mails of each campaign; those 30 are the report's own sample.
+    """How much wording the mails of a campaign share: over all its mails the mean, over a mail's shingles, of the share
+    of the other mails that have the shingle too. Counts per shingle, so it costs what the texts cost.
 
-    ``members``: campaign_id, message_id, received_at, shingles.
+    ``members``: campaign_id, message_id, shingles (distinct in a mail).
     """
-    place = F.row_number().over(Window.partitionBy("campaign_id").orderBy("received_at", "message_id"))
-    first = members.select("campaign_id", "message_id", "received_at", "shingles").withColumn("place", place).where(
-        F.col("place") <= lists.TRAIT_MEMBERS
-    )
-    a, b = first.alias("a"), first.alias("b")
-    pairs = a.join(b, (F.col("a.campaign_id") == F.col("b.campaign_id")) & (F.col("a.place") < F.col("b.place")))
-    return pairs.groupBy(F.col("a.campaign_id").alias("campaign_id")).agg(
-        F.avg(txt.jaccard(F.col("a.shingles"), F.col("b.shingles"))).alias("mean")
-    )
+    sizes = members.groupBy("campaign_id").agg(F.count("*").alias("mails"))
+    each = members.select("campaign_id", F.size("shingles").alias("own"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("campaign_id", F.xxhash64("shingle").alias("shingle")).agg(F.count("*").alias("k"), F.sum(1 / F.col("own")).alias("weight"))
+    shared = counts.join(sizes.where("mails > 1"), "campaign_id").groupBy("campaign_id", "mails").agg(
+        F.sum(F.col("weight") * (F.col("k") - 1)).alias("shared"))
+    return shared.select("campaign_id", (F.col("shared") / (F.col("mails") * (F.col("mails") - 1))).alias("mean"))

@@ -1,17 +1,20 @@
-"""Text classifier: hashed word and character n-grams with log TF-IDF into a balanced logistic regression."""
+"""Text classifier: hashed word and character n-grams with TF-IDF into a balanced logistic regression."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, NGram, Normalizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.functions import text as txt
 
 C = 4.0
+#: Hash buckets of each kind of term, as a power of two; iterations end earlier when the fit has converged.
+BITS, ITERATIONS = 18, 100
 
 
 def prepare(corpus: DataFrame) -> DataFrame:
@@ -37,28 +40,37 @@ def with_grams(texts: DataFrame) -> DataFrame:
     return texts.withColumns({"words": words, "chars": F.flatten(F.transform(padded, grams))})
 
 
-def features(bits: int = 18) -> list:
-    size = 1 << bits
+def hashed(bits: int = BITS) -> list:
+    """Word terms (words and neighbouring pairs) and character terms as counts."""
     return [
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS word_terms FROM __THIS__"),
-        HashingTF(inputCol="word_terms", outputCol="word_tf", numFeatures=size),
-        HashingTF(inputCol="chars", outputCol="char_tf", numFeatures=size),
-        IDF(inputCol="word_tf", outputCol="word_idf"), IDF(inputCol="char_tf", outputCol="char_idf"),
-        Normalizer(inputCol="word_idf", outputCol="word_vec"), Normalizer(inputCol="char_idf", outputCol="char_vec"),
-        VectorAssembler(inputCols=["word_vec", "char_vec"], outputCol="features"),
+        HashingTF(inputCol="word_terms", outputCol="word_tf", numFeatures=1 << bits),
+        HashingTF(inputCol="chars", outputCol="char_tf", numFeatures=1 << bits),
     ]
 
 
-def train(prepared: DataFrame, bits: int = 18) -> PipelineModel:
+def _weighted(counts: DataFrame, kind: str) -> list:
+    """Counts times 1 + idf, to length 1. The idf is fitted here, as the scale has to be known to add one to it."""
+    idf = IDF(inputCol=f"{kind}_tf", outputCol="unused").fit(counts).idf.toArray()
+    return [ElementwiseProduct(scalingVec=Vectors.dense(idf + 1), inputCol=f"{kind}_tf", outputCol=f"{kind}_idf"),
+            Normalizer(inputCol=f"{kind}_idf", outputCol=f"{kind}_vec")]
+
+
+def train(prepared: DataFrame, bits: int = BITS) -> PipelineModel:
     """Both classes get the same total weight."""
     n = prepared.groupBy("label").agg(F.count("*").alias("n"))
     sums = {r["label"]: r["n"] for r in n.collect()}  # two rows
     total = sum(sums.values())
     weight = F.when(F.col("label") == 1, total / (2.0 * sums.get(1, 1))).otherwise(total / (2.0 * sums.get(0, 1)))
-    regression = LogisticRegression(weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=0.0, maxIter=30)
     grams = with_grams(prepared).withColumn("weight", weight).withColumn("label", F.col("label").cast("double"))
-    return Pipeline(stages=[*features(bits), regression]).fit(grams)
+    terms = Pipeline(stages=hashed(bits)).fit(grams)
+    counts = terms.transform(grams).select("word_tf", "char_tf", "label", "weight").cache()
+    regression = LogisticRegression(weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=0.0, maxIter=ITERATIONS)
+    rest = Pipeline(stages=[*_weighted(counts, "word"), *_weighted(counts, "char"),
+                            VectorAssembler(inputCols=["word_vec", "char_vec"], outputCol="features"), regression]).fit(counts)
+    counts.unpersist()
+    return PipelineModel(stages=[*terms.stages, *rest.stages])
 
 
 def predict(model: PipelineModel, texts: DataFrame) -> DataFrame:

@@ -86,17 +86,26 @@ def route(evidence: DataFrame, risk: DataFrame, campaign_of: DataFrame, linked_m
     return both.withColumn("incident_id", F.concat(F.lit("inc-"), F.coalesce("campaign_id", own)))
 
 
-def changes(exposures: DataFrame) -> DataFrame:
+def firsts(exposures: DataFrame) -> DataFrame:
+    """Per incident its first evidence, and the first of each severity from 2."""
+    at = F.struct("ts", "evidence_id")
+    return exposures.groupBy("incident_id").agg(
+        F.min(at).alias("first"), *[F.min(F.when(F.col("severity") >= n, at)).alias(f"first_{n}") for n in (2, 3)]
+    )
+
+
+def merged_firsts(parts: DataFrame) -> DataFrame:
+    """Firsts of several batches, in whatever order these came, as one."""
+    return parts.groupBy("incident_id").agg(*[F.min(c).alias(c) for c in ("first", "first_2", "first_3")])
+
+
+def changes(exposures: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(evidence_id, incident_id, ts, severity, event): created, escalated or updated.
 
     An evidence row escalates when it is the first at or above its own severity. Three minimums per
     incident say that, so no incident's history is sorted in one task.
     """
-    at = F.struct("ts", "evidence_id")
-    firsts = exposures.groupBy("incident_id").agg(
-        F.min(at).alias("first"), *[F.min(F.when(F.col("severity") >= n, at)).alias(f"first_{n}") for n in (2, 3)]
-    )
-    rows = exposures.join(firsts, "incident_id")
+    rows = exposures.join(firsts(exposures) if known is None else known, "incident_id")
     here = F.col("evidence_id")
     rises = F.when(F.col("severity") == 3, F.col("first_3.evidence_id") == here).otherwise(F.col("first_2.evidence_id") == here)
     event = F.when(F.col("first.evidence_id") == here, "incident.created").when(rises, "incident.escalated").otherwise("incident.updated")

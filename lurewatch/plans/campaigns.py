@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import reference_lists as lists
+from lurewatch import wording
 from lurewatch.functions import text as txt
 from lurewatch.operators import campaigns
 from lurewatch.plans import sql
@@ -113,7 +114,7 @@ FROM (SELECT campaign_id, sender_domain, count(*) AS n FROM v_member WHERE sende
 def agg_campaign_name(t: Tables) -> DataFrame:
     counts = t.members.where("sender_domain <> ''").groupBy("campaign_id", "sender_domain").agg(F.count("*").alias("n"))
     return counts.groupBy("campaign_id").agg(
-        F.concat(F.lit("Suspicious emails from "), F.min_by("sender_domain", F.struct(-F.col("n"), "sender_domain"))).alias("name"))
+        F.concat(F.lit(wording.CAMPAIGN_NAME), F.min_by("sender_domain", F.struct(-F.col("n"), "sender_domain"))).alias("name"))
 
 
 oracle_view("v_murl", "SELECT DISTINCT campaign_id, message_id, string_split(url, '#')[1] AS url FROM v_link JOIN v_campaign USING (message_id)")
@@ -152,11 +153,11 @@ def agg_trait_links(t: Tables) -> DataFrame:
     best = counts.groupBy("campaign_id").agg(F.min(rank).alias("best"))
     rest = counts.join(best, "campaign_id").where(F.col("host") != F.col("best.host")).groupBy("campaign_id").agg(F.min(rank).alias("best"))
     top = best.unionByName(rest).join(counts, "campaign_id").where(F.col("host") == F.col("best.host"))
-    same = txt.fill("Same link target in all {n} messages: {host}", n=F.col("n").cast("string"), host=F.col("host"))
-    most = txt.fill("Link target {host} in {c} of {n} messages", n=F.col("n").cast("string"), c=F.col("c").cast("string"), host=F.col("host"))
+    same = txt.fill(wording.TRAITS["link_host"], n=F.col("n").cast("string"), host=F.col("host"))
+    most = txt.fill(wording.TRAITS["most_hosts"], n=F.col("n").cast("string"), c=F.col("c").cast("string"), host=F.col("host"))
     hosts = top.where("c * 2 >= n").select("campaign_id", F.when(F.col("c") == F.col("n"), same).otherwise(most).alias("trait"))
     urls = common.join(sizes, "campaign_id").select(
-        "campaign_id", txt.fill("Same link in all {n} messages: {url}", n=F.col("n").cast("string"), url=F.col("url")).alias("trait"))
+        "campaign_id", txt.fill(wording.TRAITS["link"], n=F.col("n").cast("string"), url=F.col("url")).alias("trait"))
     return hosts.unionByName(urls)
 
 
@@ -170,17 +171,17 @@ def agg_trait_sender(t: Tables) -> DataFrame:
         F.countDistinct("message_id").alias("n"), F.countDistinct("sender").alias("addresses"), F.countDistinct("sender_domain").alias("domains"),
         F.min("sender").alias("sender"), F.min("sender_domain").alias("domain"))
     n = F.col("n").cast("string")
-    one = txt.fill("Same sender address in all {n} messages: {sender}", n=n, sender=F.col("sender"))
-    same = txt.fill("Same sender domain in all {n} messages: {domain} ({a} different addresses)", n=n, domain=F.col("domain"),
+    one = txt.fill(wording.TRAITS["sender"], n=n, sender=F.col("sender"))
+    same = txt.fill(wording.TRAITS["sender_domain"], n=n, domain=F.col("domain"),
                     a=F.col("addresses").cast("string"))
     shared = (F.col("domains") == 1) & (F.col("domain") != "") & ~F.col("domain").isin(lists.CAMPAIGN_FREEMAIL)
     return sums.select("campaign_id", F.when(F.col("addresses") == 1, one).when(shared, same).alias("trait")).where("trait is not null")
 
 
 query("agg_trait_wording")(lambda t: campaigns.traits_wording(t.members).where(F.col("mean") >= lists.TRAIT_WORDING).select(
-    "campaign_id", txt.fill("Similar wording (about {p}% shared phrasing)", p=F.bround(F.col("mean") * 100, 0).cast("int").cast("string")).alias("trait")))
+    "campaign_id", txt.fill(wording.TRAITS["wording"], p=F.bround(F.col("mean") * 100, 0).cast("int").cast("string")).alias("trait")))
 query("agg_trait_span", """
 SELECT campaign_id, 'All delivered within ' || CASE WHEN d < 60 THEN d || ' seconds' WHEN d < 3600 THEN (d // 60) || ' minutes' ELSE (d // 3600) || ' hours' END AS trait
 FROM (SELECT campaign_id, max(t) - min(t) AS d FROM v_member GROUP BY campaign_id)""")(
     lambda t: t.members.groupBy("campaign_id").agg(F.concat(
-        F.lit("All delivered within "), txt.duration(F.max("t") - F.min("t"))).alias("trait")))
+        F.lit(wording.TRAITS["span"]), txt.duration(F.max("t") - F.min("t"))).alias("trait")))

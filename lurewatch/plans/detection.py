@@ -19,7 +19,7 @@ from lurewatch.sources.tables import Tables
 # --- oracle side: one view per rule --------------------------------------------------------------
 _AUTH = {}
 for _m in mailauth.MECHANISMS:
-    _clean = "regexp_replace(regexp_replace(coalesce(auth, ''), '\\([^()]*\\)', ' ', 'g'), '\\([^()]*\\)', ' ', 'g')"
+    _clean = "regexp_replace(" * 14 + "coalesce(auth, '')" + ", '\\([^()]*\\)', ' ', 'g')" * 14  # deeper than any lure
     _all = f"list_filter(list_transform(string_split({_clean}, ';'), lambda s: regexp_extract(lower(trim(s)), '^{_m}\\s*=\\s*([a-z]+)', 1)), lambda r: r <> '')"
     # The lower header of the relay says "pass" for everything and only speaks when the top one is silent.
     _AUTH[_m] = (f"CASE WHEN auth IS NULL THEN NULL WHEN len({_all}) = 0 THEN 'pass' WHEN list_contains({_all}, 'pass') THEN 'pass' "

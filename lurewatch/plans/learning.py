@@ -78,7 +78,7 @@ _models: dict[tuple, object] = {}
 def model(t: Tables):
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _models:
-        _models[key] = classifier.train(classifier.prepare(corpus(t)), bits=14)
+        _models[key] = classifier.train(classifier.prepare(corpus(t)))
     return _models[key]
 
 
@@ -95,14 +95,13 @@ query("sig_ml_text")(lambda t: mail_scores(t).select("message_id", fusion.ml_sig
 
 @query("ml_leave_one_source_out")
 def ml_leave_one_source_out(t: Tables) -> DataFrame:
-    """Every eligible source held out once; a source is eligible when it has both classes. The two with most
-    texts are used, as the reference evaluation names two."""
+    """Every eligible source held out once; a source is eligible when it has both classes."""
     ready = classifier.prepare(corpus(t)).cache()
     both = ready.groupBy("source").agg(F.countDistinct("label").alias("c"), F.count("*").alias("n")).where("c = 2")
-    chosen = [r["source"] for r in both.orderBy(F.desc("n"), "source").limit(2).collect()]  # two names
+    chosen = [r["source"] for r in both.orderBy("source").collect()]  # the sources' names
     out = None
     for source in chosen:
-        fitted = classifier.train(ready.where(F.col("source") != source), bits=14)
+        fitted = classifier.train(ready.where(F.col("source") != source))
         part = metrics.roc_auc(classifier.predict(fitted, ready.where(F.col("source") == source))).withColumn("source", F.lit(source))
         out = part if out is None else out.unionByName(part)
     return out
@@ -113,9 +112,9 @@ def parsed(t: Tables) -> DataFrame:
     return mailfiles.parse(mailfiles.as_eml(t.messages)).withColumn("message_id", F.col("id").cast("bigint"))
 
 
-query("udtf_parse_eml", "SELECT message_id, subject, count(*) OVER () AS n FROM v_message")(
-    lambda t: parsed(t).where("error is null").select("message_id", "subject").join(
-        parsed(t).agg(F.count("*").alias("n")).withColumn("one", F.lit(1)), F.lit(True)).select("message_id", "subject", "n"))
+query("udtf_parse_eml", "SELECT message_id, subject, sender, 'user' || recipient_id || '@" + lists.ORG_DOMAIN + "' AS recipients, CAST(epoch(received_at) AS BIGINT) AS received FROM v_message")(
+    lambda t: parsed(t).where("error is null").select(
+        "message_id", "subject", "sender", F.array_join("recipients", ",").alias("recipients"), F.unix_timestamp("received_at").alias("received")))
 query("src_eml_files", "SELECT message_id, length(body_text) AS n FROM v_message")(
     lambda t: parsed(t).select("message_id", F.length(F.regexp_replace("body_text", "\r?\n$", "")).cast("bigint").alias("n")))
 query("parse_headers", "SELECT message_id, 4 + 2 + (CASE WHEN auth IS NULL THEN 0 ELSE 2 END) + (CASE WHEN return_path IS NULL THEN 0 ELSE 1 END) + 3 AS n FROM v_message")(
@@ -124,9 +123,9 @@ query("parse_sender", "SELECT message_id, sender, sender_name FROM v_message WHE
     lambda t: parsed(t).where("sender <> ''").select("message_id", "sender", "sender_name"))
 query("parse_body", "SELECT message_id, md5(body_text) AS body FROM v_message")(
     lambda t: parsed(t).select("message_id", F.md5(F.regexp_replace("body_text", "\r?\n$", "")).alias("body")))
-query("parse_attachments", "SELECT message_id, 'file.' || regexp_extract(filename, '([^.]*)$', 1) AS filename, lower(content_type) AS content_type FROM v_message WHERE filename IS NOT NULL")(
+query("parse_attachments", "SELECT message_id, filename, lower(content_type) AS content_type FROM v_message WHERE filename IS NOT NULL")(
     lambda t: parsed(t).select("message_id", F.explode("attachments").alias("a")).select("message_id", "a.filename", "a.content_type"))
-query("zip_encrypted_flag", "SELECT message_id, FALSE AS encrypted FROM v_message WHERE filename IS NOT NULL")(
+query("zip_encrypted_flag", "SELECT message_id, encrypted AND ends_with(lower(filename), '.zip') AS encrypted FROM v_message WHERE filename IS NOT NULL")(
     lambda t: parsed(t).select("message_id", F.explode("attachments").alias("a")).select("message_id", "a.encrypted"))
 
 # --- prompts, answers, grounding ----------------------------------------------------------------------
@@ -185,10 +184,12 @@ _asked = lambda t: t.read("conversations").where("role = 'user'").select("conv_i
 _cache = lambda t: turns(t).groupBy(txt.fingerprint(F.col("asked")).alias("fingerprint")).agg(F.max_by("answer", F.struct("conv_id", "turn")).alias("answer"))
 query("join_answer_cache", "SELECT conv_id, turn, answer IS NOT NULL AS cached FROM conversations c LEFT JOIN v_cache ON fingerprint = sha256(c.text)[:24] WHERE role = 'user'")(
     lambda t: _asked(t).join(_cache(t), "fingerprint", "left").select("conv_id", "turn", F.col("answer").isNotNull().alias("cached")))
+# Fixed value: a valid explanation is a summary and up to four reasons of at most 300 characters each.
+ANSWER_CHARS = 5 * 300
 query("explanation_select", f"SELECT conv_id, turn, CASE WHEN coalesce(ok, FALSE) THEN 'llm' ELSE 'template' END AS source FROM conversations c "
-      f"LEFT JOIN (SELECT fingerprint, {_GROUND} AND length(answer) <= 2000 AS ok FROM v_cache) ON fingerprint = sha256(c.text)[:24] WHERE role = 'user'")(
+      f"LEFT JOIN (SELECT fingerprint, {_GROUND} AND length(answer) <= {ANSWER_CHARS} AS ok FROM v_cache) ON fingerprint = sha256(c.text)[:24] WHERE role = 'user'")(
     lambda t: _asked(t).join(_cache(t), "fingerprint", "left").select("conv_id", "turn", F.when(
-        F.coalesce(grounded(F.col("answer"), F.col("asked")) & (F.length("answer") <= 2000), F.lit(False)), "llm").otherwise("template").alias("source")))
+        F.coalesce(grounded(F.col("answer"), F.col("asked")) & (F.length("answer") <= ANSWER_CHARS), F.lit(False)), "llm").otherwise("template").alias("source")))
 # Steps of the notification.
 STEPS = ["Change your work password now, on the real company sign-in page.", "Do not approve any sign-in prompts you did not start.",
          "Do not use the link or reply to the email.", "Your administrator will follow up."]
@@ -199,8 +200,14 @@ SELECT incident_id, employee_id, CASE WHEN bool_or(kind IN ('password_reuse', 'u
         "incident_id", "employee_id", F.array_join(F.transform(
             F.when(F.col("typed"), F.array(*map(F.lit, STEPS))).otherwise(F.array(*map(F.lit, STEPS[2:]))),
             lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n").alias("steps")))
-query("notification_domain", "SELECT incident_id, employee_id, arg_min(domain, (ts, evidence_id)) AS domain FROM v_exposure WHERE domain IS NOT NULL GROUP BY ALL")(
-    lambda t: t.exposures.where("domain is not null").groupBy("incident_id", "employee_id").agg(F.min_by("domain", F.struct("ts", "evidence_id")).alias("domain")))
+# Whose domain a notification names, the most telling kind first.
+DOMAIN_KINDS = ["password_reuse", "link_clicked", "email_scored"]
+_KIND_ORDER = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(DOMAIN_KINDS)) + " END"
+query("notification_domain", f"""
+SELECT incident_id, employee_id, arg_min(domain, ({_KIND_ORDER}, ts, evidence_id)) AS domain FROM v_exposure
+WHERE coalesce(domain, '') <> '' AND kind IN {sql.values_in(DOMAIN_KINDS)} GROUP BY ALL""")(
+    lambda t: t.exposures.where((F.coalesce("domain", F.lit("")) != "") & F.col("kind").isin(DOMAIN_KINDS)).groupBy("incident_id", "employee_id").agg(
+        F.min_by("domain", F.struct(F.expr(_KIND_ORDER), "ts", "evidence_id")).alias("domain")))
 
 # --- sources and sinks ----------------------------------------------------------------------------------
 def roundtrip(df: DataFrame, t: Tables, fmt: str) -> DataFrame:

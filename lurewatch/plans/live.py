@@ -39,14 +39,14 @@ def st_click_stream(t: Tables) -> DataFrame:
 
 
 @query("st_password_signin", """
-SELECT s.evidence_id, p.evidence_id AS password_id FROM v_evidence s JOIN v_evidence p ON p.employee_id = s.employee_id AND p.ts <= s.ts AND s.ts <= p.ts + INTERVAL 6 HOUR
+SELECT s.evidence_id, p.evidence_id AS password_id FROM v_evidence s JOIN v_evidence p ON p.employee_id = s.employee_id AND p.ts <= s.ts AND s.ts <= p.ts + INTERVAL 24 HOUR
 WHERE s.kind = 'unusual_signin' AND p.kind = 'password_reuse'""")
 def st_password_signin(t: Tables) -> DataFrame:
     """Stream-stream join; the watermark and the time condition bound the state."""
     side = lambda kind, key, at: t.evidence_of(t.stream("events")).where(F.col("kind") == kind).select(
         F.col("evidence_id").alias(key), F.col("employee_id").alias(f"{key}_by"), F.col("ts").alias(at)).withWatermark(at, live.WATERMARK)
     typed, seen = side("password_reuse", "password_id", "typed_at"), side("unusual_signin", "evidence_id", "seen_at")
-    both = seen.join(typed, F.expr("evidence_id_by = password_id_by AND seen_at >= typed_at AND seen_at <= typed_at + INTERVAL 6 HOURS"))
+    both = seen.join(typed, F.expr("evidence_id_by = password_id_by AND seen_at >= typed_at AND seen_at <= typed_at + INTERVAL 24 HOURS"))
     return live.to_table(both.select("evidence_id", "password_id"), "signins")
 
 
@@ -86,10 +86,14 @@ def st_late_link(t: Tables) -> DataFrame:
 
 @query("st_change_feed", "SELECT evidence_id, incident_id, event FROM v_change")
 def st_change_feed(t: Tables) -> DataFrame:
+    """Evidence comes in several files, a file a micro-batch and in no order of time. Each batch leaves its rows and its
+    first evidence per incident; both merge by key, so the feed is the same in whatever order the files come."""
     folder = live.new_folder(t.spark, "exposures")
-    t.exposures.write.parquet(folder)
-    stream = t.spark.readStream.schema(t.exposures.schema).parquet(folder)
-    return live.per_batch(stream, "feed", inc.changes).select("evidence_id", "incident_id", "event")
+    t.exposures.repartition(5, "evidence_id").write.parquet(folder)
+    stream = t.spark.readStream.schema(t.exposures.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = live.per_batch(stream, "feed", lambda batch: batch)
+    known = inc.merged_firsts(live.per_batch(stream, "feed-firsts", inc.firsts))
+    return inc.changes(rows, known).select("evidence_id", "incident_id", "event")
 
 
 @query("st_campaign_incremental", "SELECT * FROM v_campaign")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lurewatch import reference_lists as lists
 from lurewatch.functions import domains as dom
@@ -13,6 +15,7 @@ from lurewatch.functions import urls as url_fn
 from lurewatch.operators import rules
 from lurewatch.plans import sql
 from lurewatch.plans.registry import oracle_view, query
+from lurewatch.sources.mailfiles import Reader
 
 DEMO_SITE = "http://localhost:8000/demo"
 
@@ -175,21 +178,18 @@ WHERE url ILIKE 'http%'""")(lambda t: t.messages.where("body_html is not null").
                             .select("message_id", "l.url", "l.anchor"))
 
 
+_LINKS = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("anchor", T.StringType())]))
+
+
+@F.pandas_udf(_LINKS)
+def _page_links(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda html: None if html is None else [{"url": url, "anchor": anchor} for url, anchor in Reader.of(html).links]).astype(object)
+
+
 def html_links(html: Column) -> Column:
     """Web links of <a href> with their text; a picture's alt text when there is no other."""
-    a = r"""(?is)<a\s[^>]*href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
-
-    def link(tag: Column) -> Column:
-        inner = F.regexp_extract(tag, a, 2)
-        shown = txt.one_line(txt.unescaped(F.regexp_replace(inner, r"(?s)<[^>]*>", " ")))
-        alt = txt.one_line(F.regexp_extract(inner, r"""(?is)<img\s[^>]*alt\s*=\s*["']([^"']*)["']""", 1))
-        return F.struct(
-            url_fn.web_url(txt.unescaped(F.regexp_extract(tag, a, 1))).alias("url"),
-            F.nullif(F.when(shown != "", shown).otherwise(alt), F.lit("")).alias("anchor"),
-        )
-
-    tags = F.regexp_extract_all(html, F.lit(a), 0)
-    return F.filter(F.transform(tags, link), lambda l: l["url"].isNotNull())
+    links = F.transform(_page_links(html), lambda l: F.struct(url_fn.web_url(l["url"]).alias("url"), l["anchor"].alias("anchor")))
+    return F.filter(links, lambda l: l["url"].isNotNull())
 
 
 oracle_view("v_textlink", """

@@ -92,7 +92,7 @@ def _employee_reversed(key: str) -> str:
 
 
 oracle_view("v_size", "SELECT (SELECT count(*) FROM documents) AS n_messages, (SELECT count(*) FROM customer) AS n_employees, "
-            "greatest(150, (SELECT count(*) FROM customer) // 10) AS n_recipients")
+            "(SELECT count(*) FROM customer) AS n_recipients")
 oracle_view("v_lure", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in LURES)
             + ") AS t(" + ", ".join("lure_kind" if c == "kind" else c for c in COLUMNS) + ")")
 oracle_view("v_employee", f"""

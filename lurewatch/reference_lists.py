@@ -162,9 +162,25 @@ PASSWORD_IN_MAIL = r"\b(?:password|passcode|pwd|has[łl]o)(?:\s+(?:for|to|do)(?:
 PASSWORD_WORDS = ["password", "passcode", "pwd", "hasł", "haslo"]
 
 # --- look-alike characters -----------------------------------------------------------------------
-LOOKALIKE_PAIRS = [("rn", "m"), ("vv", "w"), ("cl", "d")]
-LOOKALIKE_CHARS = "0135@аеорсхуіѕјԁһοα"
-LOOKALIKE_FOR = "olesaaeopcxyisjdhoa"
+# What is written -> what it is read as.
+LOOKALIKES = {
+    "rn": "m", "vv": "w", "cl": "d", "0": "o", "1": "l", "3": "e", "5": "s", "@": "a",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i",
+    "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ο": "o", "α": "a",
+}
+# The same in the forms that replace() and translate() take: pairs of letters first, then single characters.
+LOOKALIKE_PAIRS = [(fake, real) for fake, real in LOOKALIKES.items() if len(fake) > 1]
+LOOKALIKE_CHARS = "".join(fake for fake in LOOKALIKES if len(fake) == 1)
+LOOKALIKE_FOR = "".join(LOOKALIKES[fake] for fake in LOOKALIKE_CHARS)
+
+
+def undisguised(label: str) -> str:
+    """A label as it is read, for the few trusted names; columns use domains.undo_homoglyphs."""
+    for fake, real in LOOKALIKES.items():
+        label = label.replace(fake, real)
+    return label
+
+
 MIN_TYPO_LENGTH = 5
 MIN_EMBEDDED_LENGTH = 6
 
@@ -176,14 +192,13 @@ RISKY_EXTENSIONS = {
     "shortcut": ["lnk"],
     "settings": ["reg"],
 }
-RISKY_KIND_TEXT = {
-    "program": "a program", "script": "a script, a small program", "disk_image": "a disk image",
-    "shortcut": "a shortcut", "settings": "a Windows settings file",
-}
-RISKY_KIND_CONSEQUENCE = {
-    "program": "Opening it would run it.", "script": "Opening it would run it.",
-    "disk_image": "Opening it can unpack hidden programs.", "shortcut": "Opening it can run a hidden command.",
-    "settings": "Opening it would change your computer's settings.",
+# What a kind of file is, and what opening it does.
+RISKY_KINDS = {
+    "program": ("a program", "Opening it would run it."),
+    "script": ("a script, a small program", "Opening it would run it."),
+    "disk_image": ("a disk image", "Opening it can unpack hidden programs."),
+    "shortcut": ("a shortcut", "Opening it can run a hidden command."),
+    "settings": ("a Windows settings file", "Opening it would change your computer's settings."),
 }
 DECOY_EXTENSIONS = {
     "a PDF": ["pdf"],
@@ -234,5 +249,5 @@ ML_MODERATE, ML_STRONG = 0.60, 0.90
 WINDOW_SECONDS = 24 * 3600
 JOIN_SCORE = 2
 SIMILAR, NEAR_IDENTICAL = 0.5, 0.8
-TRAIT_MEMBERS, TRAIT_WORDING = 30, 0.4
+TRAIT_WORDING = 0.4
 INVOICE_MIN_MESSAGES = 3

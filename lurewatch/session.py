@@ -16,13 +16,20 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lurewatch") -> SparkSession:
-    """A session for tests and the local benchmark. On a cluster use the session that is given."""
+# Of local sessions that came without a folder.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lurewatch", folder: str | None = None) -> SparkSession:
+    """A session for tests and the local benchmark. On a cluster use the session that is given.
+
+    ``folder`` takes checkpoints and working tables; without one a new temporary folder does."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="lurewatch-"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("LUREWATCH_DRIVER_MEMORY", "12g"))
         .getOrCreate()
@@ -52,9 +59,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
-    folder = tempfile.mkdtemp(prefix="lurewatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="lurewatch-")
+    return _LOCAL_FOLDERS[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ LURES = [
     _lure(0, "Team lunch on Friday", "We meet at noon by the door.", "Mira Vale12", "user12@corvane-freight.example"),
     _lure(1, "Security alert", "Unusual sign-in activity was found, verify your account within 24 hours or it will be suspended.",
           "Microsoft Account Team", "no-reply@micr0soft-alerts{g}.test", signature="The account team",
-          auth="mx.corvane-freight.example (mx (inner; dmarc=pass)); spf=softfail; dkim=none; dmarc=fail",
+          auth="mx.corvane-freight.example (mx (inner; dmarc=pass (a (b (c))))); spf=softfail; dkim=none; dmarc=fail",
           url="https://login.micr0soft-alerts{g}.test/verify?u=1", anchor="https://account.microsoft.com/security"),
     _lure(2, "Quick favour", "Please buy gift cards for a client, scratch the back and send me the photos right away.",
           "{e}", "ceo.office{g}@gmail.com", signature="Managing Director"),
@@ -76,7 +76,7 @@ LURES = [
     _lure(21, "Newsletter", "This is not urgent and there is no action required.", "Press", "press@press-{g}.example",
           url="https://press-{g}.example/today", anchor="press-{g}.example"),
     _lure(22, "Agenda", "The agenda is below.", "Partner", "agenda@partner-{g}.example",
-          auth="mx.corvane-freight.example; dkim=fail"),
+          auth="mx.corvane-freight.example (((((((((((( ; dkim=pass )))))))))))); dkim=fail"),
     _lure(23, "Note", "A short note for the record.", "", "", auth=None),
 ]
 KINDS = len(LURES)

@@ -77,8 +77,8 @@ class Tables:
 
     @cached_property
     def recipient_count(self) -> int:
-        """Mail goes to a tenth of the employees, but to 150 at least."""
-        return max(150, self.employee_count // 10)
+        """Mail goes to all employees."""
+        return self.employee_count
 
     @cached_property
     def lures(self) -> DataFrame:

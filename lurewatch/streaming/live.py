@@ -13,7 +13,7 @@ from lurewatch.operators import campaigns
 from lurewatch.operators.components import connected_components
 from lurewatch.session import cut_lineage, shared_folder
 
-WATERMARK = "24 hours"  # the campaign window; later events are counted as late, not matched
+WATERMARK = "24 hours"  # the campaign window; later events are not matched
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

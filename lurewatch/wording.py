@@ -120,3 +120,30 @@ SPECIFIC_ACTION = [
     ("gift_card", "Do not buy gift cards. Check with the person directly, not by replying."),
     ("risky_attachment", "Do not open the attachment."),
 ]
+
+# How a look-alike name was made.
+SUBSTITUTION = {
+    "pair": "the letters '{fake}' stand in for the letter '{real}'",
+    "digit": "the letter '{real}' was replaced by the digit '{fake}'",
+    "sign": "the letter '{real}' was replaced by '{fake}'",
+    "letter": "the letter '{real}' was replaced by a look-alike letter from another alphabet",
+}
+EDIT = {
+    "swapped": "the letters '{a}{b}' were swapped",
+    "replaced": "the letter '{a}' was replaced by {by}",
+    "added": "an extra '{a}' was added to '{name}'",
+    "left_out": "the letter '{a}' was left out of '{name}'",
+}
+EDIT_DIGIT = "the digit '"
+
+# What the mails of a campaign share.
+CAMPAIGN_NAME = "Suspicious emails from "
+TRAITS = {
+    "link_host": "Same link target in all {n} messages: {host}",
+    "most_hosts": "Link target {host} in {c} of {n} messages",
+    "link": "Same link in all {n} messages: {url}",
+    "sender": "Same sender address in all {n} messages: {sender}",
+    "sender_domain": "Same sender domain in all {n} messages: {domain} ({a} different addresses)",
+    "wording": "Similar wording (about {p}% shared phrasing)",
+    "span": "All delivered within ",
+}

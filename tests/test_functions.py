@@ -55,6 +55,10 @@ def test_auth_results(spark):
 
     assert verdict("mx; spf=hardfail (a; dmarc=pass (b)); dkim=fail; dkim=pass") == ("fail", "pass", None)
     assert verdict("mx; dmarc=fail", "old; dmarc=pass; spf=softfail") == ("softfail", None, "fail")
+    for depth in (3, 5, 12, 40):
+        inner = "(x; dmarc=pass " * depth + ")" * depth
+        assert verdict(f"mx {inner}; dmarc=fail (a{inner})") == (None, None, "fail")
+    assert verdict("mx (open; dmarc=fail") == (None, None, "fail")  # a bracket without its partner hides nothing
 
 
 @pytest.mark.parametrize("host,key,trick", [
@@ -108,3 +112,40 @@ def test_parse_mail(tmp_path, spark):
     (tmp_path / "b.eml").write_bytes(b"%PDF no mail")
     found = {r["error"]: r["sender"] for r in read_eml(spark, str(tmp_path)).collect()}
     assert found == {None: "ann@desk.example", "not a mail": None}
+
+
+def test_long_names(spark):
+    people = spark.createDataFrame([(1, "Ana Maria van der Berg", "CFO"), (2, "Li Wu", "CTO")], "employee_id long, name string, title string")
+    mails = ["Ana Maria van der Berg", "Berg, Ana Maria van der (CFO)", "maria van der berg", "Ana van der Berg", "wu li", "Mr Li Wu Jr"]
+    rows = [(i, "x@free.test", name) for i, name in enumerate(mails)]
+    hits = rules.colleague_hits(spark.createDataFrame(rows, "message_id long, sender string, sender_name string"), people)
+    assert sorted(r["message_id"] for r in hits.collect()) == [0, 1, 4, 5]
+
+
+def test_quotes(spark):
+    def quoted(sentence, matched):
+        return spark.range(1).select(txt.quote_around(F.lit(sentence), F.lit(matched), 40)).first()[0]
+
+    assert quoted("a short one:", "short") == "a short one"
+    text = " ".join(f"word{i}" for i in range(30))
+    got = quoted(text, "word15")
+    assert got.startswith("…") and got.endswith("…") and "word15" in got and len(got) <= 40
+    assert all(w in text.split() for w in got.strip("…").split())
+    assert quoted("x" * 100, "x") == "x" * 38 + "…"
+
+
+def test_references(spark):
+    assert values(spark, ["verify&#32;your&nbsp;a&eacute;&amp;b", "plain", None], txt.unescaped) == ["verify your\u00a0aé&b", "plain", None]
+
+
+def test_emoji_label(spark):
+    coded = "xn--" + "a😀b".encode("punycode").decode()
+    assert values(spark, [coded, "xn--" + ("ü" * 60).encode("punycode").decode()], dom.decoded_host) == ["a😀b", "ü" * 60]
+
+
+def test_html_only_mail():
+    row = parse_mail(b"From: A <a@x.test>\r\nSubject: s\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+                     b"<p>Hello<br>there<a href=http://one.test/x>go<p><a href='&#104;ttp://two.test'><img alt=pic></a>")
+    assert row["body_text"].split("\n") == ["Hello", "therego"]
+    assert [(u["url"], u["anchor_text"]) for u in row["urls"]] == [("http://one.test/x", "go"), ("http://two.test", "pic")]
+    assert row["received_at"] is None and row["message_key"].startswith("eml-")
