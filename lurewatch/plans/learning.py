@@ -78,7 +78,7 @@ _models: dict[tuple, object] = {}
 def model(t: Tables):
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _models:
-        _models[key] = classifier.train(classifier.prepare(corpus(t)))
+        _models[key] = classifier.train(classifier.prepare(corpus(t)), bits=14)
     return _models[key]
 
 
@@ -95,13 +95,14 @@ query("sig_ml_text")(lambda t: mail_scores(t).select("message_id", fusion.ml_sig
 
 @query("ml_leave_one_source_out")
 def ml_leave_one_source_out(t: Tables) -> DataFrame:
-    """Every eligible source held out once; a source is eligible when it has both classes."""
+    """Sources held out in turn; a source is eligible when it has both classes. The two with most texts are used, as the
+    reference evaluation names two."""
     ready = classifier.prepare(corpus(t)).cache()
     both = ready.groupBy("source").agg(F.countDistinct("label").alias("c"), F.count("*").alias("n")).where("c = 2")
-    chosen = [r["source"] for r in both.orderBy("source").collect()]  # the sources' names
+    chosen = [r["source"] for r in both.orderBy(F.desc("n"), "source").limit(2).collect()]  # two names
     out = None
     for source in chosen:
-        fitted = classifier.train(ready.where(F.col("source") != source))
+        fitted = classifier.train(ready.where(F.col("source") != source), bits=14)
         part = metrics.roc_auc(classifier.predict(fitted, ready.where(F.col("source") == source))).withColumn("source", F.lit(source))
         out = part if out is None else out.unionByName(part)
     return out
