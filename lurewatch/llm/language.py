@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import learned_from, most_frequent
+from lurewatch.llm.common import give_back, learned_from, most_frequent
 
 #: Bounds of the fitted model, all per language: rows learned from, words and n-grams of each order that are kept.
 SAMPLE_ROWS, WORDS, GRAMS = 4000, 30_000, 20_000
@@ -33,7 +33,7 @@ ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 #: Backing off one character costs this factor.
 BACKOFF = math.log(0.4)
-CACHE = 200_000
+CACHE = 50_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -67,25 +67,42 @@ def split_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "order", "gram", "n"])
 
 
+@dataclass
+class Rows:
+    """A row of log probabilities for each item, in one matrix: a model of small arrays would take several times the memory."""
+
+    place: dict[str, int]
+    values: np.ndarray
+
+    def get(self, item: str) -> np.ndarray | None:
+        at = self.place.get(item)
+        return None if at is None else self.values[at]
+
+    def with_rows(self, other: "Rows") -> "Rows":
+        return Rows(self.place | {k: len(self.values) + i for k, i in other.place.items()}, np.concatenate([self.values, other.values]))
+
+
 @dataclass
 class Model:
     """languages in order; word and n-gram rows of log probabilities; what an unseen single character scores."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: Rows
+    grams: Rows
     floor: np.ndarray
 
 
-def _table(rows: list, languages: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _table(rows: list, languages: list[str]) -> tuple[Rows, np.ndarray]:
     """Add-one smoothed log probabilities of each item in each language."""
-    place = {name: i for i, name in enumerate(languages)}
-    totals, counts = np.ones(len(languages)), defaultdict(lambda: np.zeros(len(languages)))
+    column, place = {name: i for i, name in enumerate(languages)}, {}
+    for _, gram, _, _ in rows:
+        place.setdefault(gram, len(place))
+    totals, counts = np.ones(len(languages)), np.zeros((len(place), len(languages)))
     for lang, gram, n, total in rows:
-        counts[gram][place[lang]] = n
-        totals[place[lang]] = total
-    norm = np.log(totals + len(counts) + 1)
-    return {gram: np.log(own + 1) - norm for gram, own in counts.items()}, -norm
+        counts[place[gram], column[lang]] = n
+        totals[column[lang]] = total
+    norm = np.log(totals + len(place) + 1)
+    return Rows(place, np.log(counts + 1) - norm), -norm
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -93,7 +110,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], Rows({}, np.zeros((0, 0))), Rows({}, np.zeros((0, 0))), np.zeros(0))
     # xxhash64 spreads ids over 2**64: a row is in the sample if its hash falls into the share that gives sample_rows.
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample_rows / n))])
     picked = (F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(1 << 30)) < share[F.col("lang")]
@@ -108,10 +125,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS
     kept = [(*r, gram_total[r[0], r[1]]) for r in most_frequent(grams, ["lang", "order"], "gram", GRAMS).select("lang", "order", "gram", "n").collect()]
     counted.unpersist()
     grams.unpersist()
-    tables, floor = {}, np.zeros(len(languages))
+    tables, floor = Rows({}, np.zeros((0, len(languages)))), np.zeros(len(languages))
     for order in ORDERS:
         own, low = _table([(lang, gram, n, total) for lang, o, gram, n, total in kept if o == order], languages)
-        tables |= own
+        tables = tables.with_rows(own)
         floor = low
     return Model(languages, _table(words, languages)[0], tables, floor)
 
@@ -170,6 +187,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = scorers.setdefault(0, Scorer(held.value))
         for batch in texts:
             yield pd.DataFrame([scorer.text(x) for x in batch], columns=["lang_pred", "score"])
+        give_back()
 
     found = F.pandas_udf(scored, "lang_pred string, score double")(F.col(text))
     return docs.withColumn("__found", found).select("*", "__found.lang_pred", "__found.score").drop("__found")

@@ -25,10 +25,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from lurewatch.llm.common import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 0
 #: Texts are sampled together up to about so many characters, which bounds the lattices in memory.
-TOGETHER = 400_000
+TOGETHER = 150_000
 _PARTS = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+")
 _SPACE, _COVER = "▁", (1 << 21) - 1  # a literal space mark in the text is no piece
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -251,6 +253,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([x is None for x in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(counts), lists, pa.array(same, pa.bool_())], names=[key, "n_pieces", "pieces", "lossless"])
+            give_back()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_pieces long, pieces array<int>, lossless boolean")
 

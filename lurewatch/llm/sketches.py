@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lurewatch.llm.common import stored
+from lurewatch.llm.common import give_back, stored
 from lurewatch.operators.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -44,7 +44,7 @@ ESTIMATE_REGISTERS, SIGMAS = 128, 6.0
 DRAWS, TRIES, ROUNDS = 3, 4, 1
 #: Buckets of up to so many classes are compared pair by pair, larger ones in chunks of about so many classes.
 PAIRED, CHUNK, COLUMNS = 32, 512, 8192
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 _MANY = BANDS * ROWS
 BIT_WORDS = -(-_MANY // 64)
 
@@ -138,6 +138,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, names: list[str]) -
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()),
              pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
+    _hashes.clear()
+    give_back()
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
