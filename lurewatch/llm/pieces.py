@@ -30,7 +30,7 @@ from lurewatch.llm.common import give_back
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 0
 #: Texts are sampled together up to about so many characters, which bounds the lattices in memory.
-TOGETHER = 150_000
+TOGETHER = 60_000
 _PARTS = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+")
 _SPACE, _COVER = "▁", (1 << 21) - 1  # a literal space mark in the text is no piece
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -186,24 +186,13 @@ def _with_bytes(ids: np.ndarray, row: np.ndarray, words: Vocabulary) -> tuple[np
     return out, np.repeat(row, times)
 
 
-def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts after one another, and the number of pieces of each text."""
+def _drawn(words: Vocabulary, parts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all parts after one another, and the number of pieces of each part."""
     number: defaultdict[str, int] = defaultdict()
     number.default_factory = number.__len__
-    codes, counts = [], []
-    for text in texts:
-        parts = _PARTS.findall(text)
-        counts.append(len(parts))
-        codes.extend(map(number.__getitem__, parts))
-    if not codes:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    lattices, counts = Lattices(words, list(number)), np.array(counts, np.int64)
-    row = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}") for k in keys], np.uint64)
-    with np.errstate(over="ignore"):
-        seeds = seeds[row] + _GOLD * place.astype(np.uint64)
-    who, state, step, drawn = np.arange(len(codes)), lattices.ends[np.array(codes)], 0, []
+    codes = np.array([number[part] for part in parts])
+    lattices = Lattices(words, list(number))
+    who, state, step, drawn = np.arange(len(codes)), lattices.ends[codes], 0, []
     lengths, left = np.zeros(len(codes), np.int64), seeds
     while len(who):
         edge = np.searchsorted(lattices.bounds, state + _draws(left, step), side="right")
@@ -216,7 +205,26 @@ def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) ->
     ids = np.zeros(int(stops[-1]), np.int64)
     for k, (who, one) in enumerate(drawn):
         ids[stops[who] - 1 - k] = one
-    row = np.repeat(row, lengths)
+    return ids, lengths
+
+
+def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts after one another, and the number of pieces of each text. Parts are worked off in runs of
+    about TOGETHER characters, so a long text takes no more memory than short ones."""
+    split = [_PARTS.findall(text) for text in texts]
+    counts = np.array([len(own) for own in split], np.int64)
+    parts = [part for own in split for part in own]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    row = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
+    seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}") for k in keys], np.uint64)
+    with np.errstate(over="ignore"):
+        seeds = seeds[row] + _GOLD * place.astype(np.uint64)
+    runs = np.cumsum([len(part) for part in parts]) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(parts)]
+    found = [_drawn(words, parts[a:b], seeds[a:b]) for a, b in zip(cuts, cuts[1:])]
+    ids, row = np.concatenate([x for x, _ in found]), np.repeat(row, np.concatenate([x for _, x in found]))
     if (ids < 0).any():
         ids, row = _with_bytes(ids, row, words)
     return ids.astype(np.int32), np.bincount(row, minlength=len(texts)).astype(np.int64)
