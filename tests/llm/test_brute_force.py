@@ -11,10 +11,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lurewatch.llm import catalog, gru, language, language_model, mixing, pieces, quality, secrets, sketches, vectors, warc
-from lurewatch.llm.common import table
+from lurewatch.llm.common import table, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -132,6 +133,19 @@ def test_language_model(spark, folder, docs):
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
 
 
+def test_model_learns_from_all_documents(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("own"), F.repeat(F.lit("some word "), 5000)).alias("text"))
+    seen = []
+    monkeypatch.setattr(language_model, "_round", lambda shards, *_: seen.append(shards.select(F.sum(F.size(words_of(F.col("text"))) + 1)).first()[0]))
+    assert language_model.learn(docs).train_tokens == sum(seen) == 400 * 10_002
+
+
+def test_windows_hold_all_tokens():
+    docs = [np.full(n, i, np.int32) for i, n in enumerate([1, 5, 40, 3, 700] * 9)]
+    seen = collections.Counter(x for _, targets, _, _ in gru.windows(docs, 0) for x in targets.ravel().tolist())
+    assert seen == {i: len(d) for i, d in enumerate(docs)}
+
+
 def test_probabilities_sum_to_one():
     model = gru.start(np.array([40.0, 20, 10, 5, 5, 2, 1]), hidden=4, classes=3)
     draw = np.random.default_rng(0)
