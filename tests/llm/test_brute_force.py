@@ -7,6 +7,7 @@ import html
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -180,6 +181,29 @@ def test_state_goes_on_over_windows(monkeypatch):
     assert [gru.score(model, [d], 0)[0] for d in docs] == pytest.approx(whole, rel=1e-5)
 
 
+def test_a_long_document_beside_short_ones():
+    """Memory follows the tokens, not the longest document times the lanes."""
+    model = gru.start(np.array([9.0, 8, 7]), hidden=2, classes=2)
+    docs = [np.zeros(100_000, np.int32)] + [np.ones(2, np.int32)] * 63
+    tracemalloc.start()
+    gru.score(model, docs, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
+def test_stretches_join(monkeypatch):
+    model = gru.start(np.array([9.0, 8, 7, 6, 5]), hidden=4, classes=2)
+    draw = np.random.default_rng(3)
+    for name in ("to_class", "to_token", "inputs"):
+        getattr(model, name)[...] = draw.normal(size=getattr(model, name).shape)
+    docs = [draw.integers(0, 5, n).astype(np.int32) for n in (300, 90, 1, 200)]
+    whole = gru.score(model, docs, 0)
+    monkeypatch.setattr(gru, "STEPS", gru.WINDOW)
+    assert gru.score(model, docs, 0) == pytest.approx(whole, rel=1e-5)
+    assert [gru.score(model, [d], 0)[0] for d in docs] == pytest.approx(whole, rel=1e-5)
+
+
 def test_buckets_agree(spark):
     words = [b"a", b"ab", b"abc", "über".encode(), "x€".encode()]
     got = spark.createDataFrame([(w,) for w in words], "word binary").selectExpr(f"crc32(substring(word, -2, 2)) % {language_model.BUCKETS} AS b").collect()
