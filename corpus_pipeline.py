@@ -44,8 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document."""
-    return pieces.encode(docs)
+    """The pieces of every document, and its place in the mixture: whoever reads the result by ``mix_order`` meets the sources
+    by their weights, in whatever order files are read."""
+    return pieces.encode(mixing.with_order(docs.select("doc_id", "text")), carry=("mix_order",))
 
 
 STAGES = [

@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,8 @@ def scheduled(docs: DataFrame, key: str = "doc_id", source: str = "source", weig
     ``temper``."""
     spark = docs.sparkSession
     kind = docs.schema[source].dataType
-    sizes = {row[0]: row[1] for row in docs.groupBy(source).count().collect()}  # a row for each source
+    found = docs.groupBy(source).count().collect()  # a row for each source
+    sizes = dict(sorted(map(tuple, found), key=lambda x: (x[0] is not None, str(x[0]))))  # whatever order they come in
     if weights is None:
         weights = {s: n**temper for s, n in sizes.items()}
     least = min([w for w in weights.values() if w > 0], default=1) * 1e-9
@@ -107,7 +109,7 @@ def scheduled(docs: DataFrame, key: str = "doc_id", source: str = "source", weig
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The same rows and columns, written out in the order of the schedule."""
+    """The same rows and columns, written out in the order of the schedule; ``with_order`` reads it."""
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(how.get("key", "doc_id")).alias("__key"),
                       F.col(how.get("source", "source")).alias("__from"))
@@ -115,5 +117,19 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     return found.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("__row.*")
 
 
+def with_order(docs: DataFrame, name: str = "mix_order") -> DataFrame:
+    """What ``mixed`` wrote as Parquet and was read back in any order, with each row's place in the schedule: ascending, not
+    without gaps. Files are numbered by slots, and rows within a file are in order. Null for rows that are in no file."""
+    try:
+        file = docs.metadataColumn("_metadata")  # a column of that name is another one
+        part = F.regexp_extract(file["file_name"], r"^part-(\d+)-", 1).cast("long")
+        cut = F.regexp_extract(file["file_name"], r"-c(\d+)[^-]*$", 1).cast("long")
+        ordered = docs.withColumn(name, F.struct(part.alias("part"), cut.alias("cut"), file["row_index"].alias("row")))
+        ordered.schema
+        return ordered
+    except AnalysisException:  # rows that come from no file
+        return docs.withColumn(name, F.lit(None).cast("struct<part:long,cut:long,row:long>"))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return scheduled(docs.select("doc_id", "source"))

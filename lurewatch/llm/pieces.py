@@ -240,8 +240,9 @@ def _cut(texts: list[str | None]) -> Iterator[slice]:
             start, size = i + 1, 0
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """Key, n_pieces, pieces (ids) and whether decoding them gave the text back."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, theta: float = THETA, seed: int = SEED,
+           carry: tuple[str, ...] = ()) -> DataFrame:
+    """Key, n_pieces, pieces (ids) and whether decoding them gave the text back; columns to carry come last, unread."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(model, theta))  # bounded by the vocabulary file
     kind = docs.schema[key].dataType.simpleString()
 
@@ -260,10 +261,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
             lists = pa.ListArray.from_arrays(
                 pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([x is None for x in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(counts), lists, pa.array(same, pa.bool_())], names=[key, "n_pieces", "pieces", "lossless"])
+                [keys, pa.array(counts), lists, pa.array(same, pa.bool_()), *batch.columns[2:]], names=[key, "n_pieces", "pieces", "lossless", *carry])
             give_back()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_pieces long, pieces array<int>, lossless boolean")
+    others = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(key, text, *carry).mapInArrow(run, f"`{key}` {kind}, n_pieces long, pieces array<int>, lossless boolean{others}")
 
 
 def decoded(encoded: DataFrame, pieces: str = "pieces", model: str = MODEL) -> DataFrame:

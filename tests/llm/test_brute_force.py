@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lurewatch.llm import catalog, gru, language, language_model, mixing, pieces, quality, secrets, sketches, vectors, warc
-from lurewatch.llm.common import table, words_of
+from lurewatch.llm.common import stored, table, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -368,3 +368,33 @@ def test_pipeline(spark, folder, docs):
     want = {i: secrets.hidden(r["text"], secrets.find(r["text"], ranks)) for i, r in left.items() if component[i] == i}
     got = {r["doc_id"]: pieces.decode(r["pieces"], words.spelled) for r in corpus_pipeline.run(spark, folder).collect()}
     assert got == want
+
+
+def test_pipeline_keeps_the_mixture(spark, folder, monkeypatch):
+    """Read by mix_order, the pipeline's result is the schedule of what the third stage leaves: sources keep their shares."""
+    monkeypatch.setattr(mixing, "BLOCK", 1)
+    monkeypatch.setattr(mixing.scheduled, "__defaults__", tuple(1 if x == 16 else x for x in mixing.scheduled.__defaults__))
+    odd = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in odd}
+    docs = table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stored(stage(spark, docs, folder), "before-mixing")
+    slots = {r["doc_id"]: r for r in mixing.scheduled(docs).collect()}
+    want = [i for i, _ in sorted(slots.items(), key=lambda x: (x[1]["slot"], x[1]["place"]))]
+    try:
+        for k, v in odd.items():  # many files, whose parts are read in another order
+            spark.conf.set(k, v)
+        rows = corpus_pipeline.run(spark, folder).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = [r["doc_id"] for r in sorted(rows, key=lambda r: r["mix_order"])]
+    assert got == want
+    sizes = collections.Counter(r["source"] for r in slots.values())
+    quota, had = mixing.shares({s: n**0.5 for s, n in sizes.items()}, mixing.PERIOD), collections.Counter()
+    assert any(r["in_mixture"] for r in slots.values())
+    for n, i in enumerate(got, 1):
+        if not slots[i]["in_mixture"]:
+            break
+        had[slots[i]["source"]] += 1
+        assert all(abs(had[s] - n * quota[s] / sum(quota.values())) < 1 for s in sizes)
