@@ -43,6 +43,8 @@ HINTS = {word: kind for kind, words in {
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+")
+#: Skipped elements that nest, and that a slash closes unless it is the end of an unquoted value.
+_FOREIGN, _VALUE = frozenset(["svg", "math"]), re.compile(r"""=\s*[^\s"']+\Z""")
 _CLOSING = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in SKIPPED}
 _ENDS = {".", "!", "?", ":", "…", "\"", "”", "»"}
 _CUES = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:in|up)\b|\blog ?in\b|\bshare\b|\bcomments?\b|\breply\b|\badvert|\bsponsor|\bprivacy\b", re.I)
@@ -93,6 +95,21 @@ def _text_features(text: str, linked: int) -> list[str]:
     return out
 
 
+def _closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not _VALUE.search(attributes)
+
+
+def _foreign_end(page: str, at: int, name: str) -> int:
+    """Where the element whose start tag ends at ``at`` ends, elements of its name inside it counted."""
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        if m[2] and m[2].lower() == name:
+            depth += -1 if m[1] else not _closed(m[3])
+            if not depth:
+                return m.end()
+    return len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
@@ -148,6 +165,9 @@ def blocks(page: str | None) -> list[Block]:
         if name in SKIPPED:
             if name == "head":  # its parts are skipped one by one, as pages forget to close it
                 continue
+            if name in _FOREIGN:
+                at = at if _closed(m[3]) else _foreign_end(page, at, name)
+                continue
             end = _CLOSING[name].search(page, at)
             at = end.end() if end else size
             continue

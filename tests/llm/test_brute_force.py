@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lurewatch.llm import catalog, gru, language, language_model, mixing, pieces, quality, secrets, sketches, vectors, warc
+from lurewatch.llm import blocks, catalog, gru, language, language_model, mixing, pieces, quality, secrets, sketches, vectors, warc
 from lurewatch.llm.common import stored, table, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -273,6 +273,12 @@ def test_extraction(spark, folder):
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
 
 
+@pytest.mark.parametrize("skipped", ["<svg/>", '<math display="block" />', "<SVG viewBox='0 0'/>", "<svg>a<svg>b</svg>c</svg>", "<svg>a<svg x='1'/>b</svg>",
+                                     "<svg width=1/>a</svg>", "<math>a<!-- </math> -->b</math>"])
+def test_foreign_elements(skipped):
+    assert " ".join(b.text for b in blocks.blocks(f"<p>one {skipped} two<p>three")) == "one two three"
+
+
 def test_warc(spark, folder):
     got = run(spark, folder, "op7_warc_revisits", "page_id")
     rows = table(spark, folder, "pages").collect()
