@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import extraction, language, language_model, mixing, pieces, quality, secrets, sketches, vectors, warc
+from lurewatch.llm import extraction, language, language_model, mixing, oracles, pieces, quality, secrets, sketches, substrings, vectors, warc
 from lurewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_pfair": _over("documents", mixing.digest),
         "op9_sampled_pieces": _over("documents", pieces.digest),
         "op10_setsketch": _over("documents", sketches.digest),
+        "op11_de_bruijn": _over("documents", substrings.digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_de_bruijn": oracles.REPEATED_RUNS}
