@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import extraction, language, language_model, mixing, negatives, oracles, pieces, quality, secrets, sketches, substrings, vectors, warc
+from lurewatch.llm import conversations, extraction, language, language_model, mixing, negatives, oracles, pieces, quality, secrets, sketches, substrings, vectors, warc
 from lurewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op9_sampled_pieces": _over("documents", pieces.digest),
         "op10_setsketch": _over("documents", sketches.digest),
         "op11_de_bruijn": _over("documents", substrings.digest),
+        "op12_audit_dp": _over("conversations", conversations.digest),
         "op13_zone_maps": _over("embeddings", negatives.digest),
     }
 
