@@ -50,3 +50,16 @@ def pages(spark):
     rows = [(3, "http://a.example/", page), (1, "http://a.example/\r\nX: y", page), (1, "http://a.example/", page), (4, None, None), (5, "u", ""),
             (6, "u", ""), (None, "u", page), (7, "u", "<p>" + "long text, of many words. " * 20_000), (8, "u", "<<<>>&&& <a title='"), (9, "u", "plain words")]
     return spark.createDataFrame([(i, u, h, 1, "t", "m", "s", 2) for i, u, h in rows], PAGES)
+
+
+TURNS = "conv_id long, turn long, role string, text string, place long, n long, segment long, first boolean, conv long, audit string"
+
+
+def conversations(spark):
+    draw = random.Random(4)
+    rows = []
+    for conv in (None, 1, 2, 3, 4):
+        rows += [(conv, None if draw.random() < 0.05 else draw.randrange(50), draw.choice(["user", "assistant", "system", "tool", "", None, "user", "assistant"]),
+                  draw.choice(["Yes.", "No", "Hm?", " ", "", None, "a b.", "ok!", "\u00c4\U0001f600."])) for _ in range(60)]
+    rows += [(3, 7, "user", "same.")] * 500 + [(5, None, None, None)] + [(6, 0, "user", "long " * 50_000), (6, 1, "assistant", "x" * 100_000 + ".")]
+    return spark.createDataFrame([(*r, 1, 2, 3, True, 4, "K") for r in rows], TURNS)
