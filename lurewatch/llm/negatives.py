@@ -214,7 +214,8 @@ class _Search:
                     meets = np.arange(len(there)) == np.where(meets, most[i], -np.inf).argmax()
                 for j in np.flatnonzero(meets):
                     wanted.setdefault(blocks[j], []).append(uids[i])
-        return pd.DataFrame({"across": np.int32(key[0]), "down": np.int32(key[1]), "block": np.array(list(wanted), np.int64), "uids": list(wanted.values())})
+        return pd.DataFrame({"across": np.int32(key[0]), "down": np.int32(key[1]), "block": np.array(list(wanted), np.int64),
+                             "uids": pd.Series(list(wanted.values()), dtype=object)})
 
     def read(self, anchors: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         """The best rows of each window of a cell's anchors in the blocks that were chosen for them."""
