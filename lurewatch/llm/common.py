@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 
 from lurewatch.session import prepare, shared_folder
 
-#: Rows per Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes per Arrow batch handed to Python: bounds a worker's memory when texts are many or long.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches of what the session runs from now on."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; also bounds the Arrow batches of what is computed from it."""
-    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -35,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, when nothing that is still to run reads them."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ in order; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -58,5 +58,10 @@ def run_minima(values: np.ndarray, length: int) -> np.ndarray:
     return _doubled(values, length, np.minimum)
 
 
+def run_maxima(values: np.ndarray, length: int) -> np.ndarray:
+    """The largest of every run of ``length`` values."""
+    return _doubled(values, length, np.maximum)
+
+
 def forget() -> None:
     _known.clear()

@@ -3,7 +3,7 @@
 The runs of ``window`` words are the edges of the graph, the runs of one word less its nodes. A word goes when a run that covers it
 also occurs earlier: in a document with a smaller key, or further up in the same one.
 
-1. Documents with the same words are one class. In all but the first every run occurs earlier, so only classes go on. They are
+1. Documents with the same text are one class. In all but the first every run occurs earlier, so only classes go on. They are
    laid out by their smallest key, then by hash; a run's ``place`` is its first word's number in that order.
 2. A run that occurs twice has the same smallest hash of its short runs ("seed") both times. Seeds, about one for seven words, show
    which runs can repeat at all; no other run leaves its document.
@@ -14,7 +14,7 @@ also occurs earlier: in a document with a smaller key, or further up in the same
    64-bit hash), its runs are judged one by one by the SHA-256 of their words.
 
 Defined results: a null or empty text has no words and keeps none; a text with fewer words than a window keeps all. Repeated rows
-(same key, same words) have the same result each; of rows with the same key and other words, that with the smaller hash counts as earlier.
+(same key, same text) have the same result each; of rows with the same key and another text, that with the smaller hash counts as earlier.
 A null key is smaller than all others. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import give_back, stored
-from lurewatch.llm.hashing import forget, run_hashes, run_minima, split_words, word_hashes
+from lurewatch.llm.common import give_back, removed, stored
+from lurewatch.llm.hashing import forget, run_hashes, run_maxima, run_minima, split_words, word_hashes
 from lurewatch.llm.numbering import placed
 
 WINDOW = 20
@@ -45,15 +45,19 @@ def _seed_words(window: int) -> int:
     return max(1, 2 * window // 5)
 
 
-def _seeds(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all short runs, and for each window the smallest of those in it."""
+def _seeds(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the smallest hash of its short runs; the sorted hashes of the short runs that are the smallest of a window; and
+    those of them that stand at several places."""
     short = run_hashes(hashes, _seed_words(window))
-    return short, run_minima(short, window - _seed_words(window) + 1)
-
-
-def _twice(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return np.unique(values[1:][values[1:] == values[:-1]])
+    width = window - _seed_words(window) + 1
+    least = run_minima(short, width)
+    if not len(least):
+        return least, least, least
+    around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    around[width - 1 : width - 1 + len(least)] = least
+    chosen = np.sort(short[short == run_maxima(around, width)])
+    again = chosen[1:] == chosen[:-1]
+    return least, chosen[np.append(True, ~again)], np.unique(chosen[1:][again])
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
@@ -61,42 +65,36 @@ def _halves(digest: bytes) -> tuple[int, int]:
 
 
 def _drawn(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Of texts with a window: the batch's columns but the text, n, again and seeds."""
     for batch in batches:
-        high, low, count, again, seeds = [], [], [], [], []
-        for text in batch.column(1).to_pylist():
+        rows, count, again, seeds = [], [], [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
             words = split_words(text)
-            a, b = _halves(xxhash.xxh3_128_digest(b" ".join(words)))
-            short, least = _seeds(word_hashes(words), window)
-            least = np.unique(least)
-            high.append(a)
-            low.append(b)
+            if len(words) < window:
+                continue
+            _, own, twice = _seeds(word_hashes(words), window)
+            rows.append(i)
             count.append(len(words))
-            again.append(bool(len(np.intersect1d(_twice(short), least, assume_unique=True))))
-            seeds.append(least.view(np.int64))
+            again.append(bool(len(twice)))
+            seeds.append(own.view(np.int64))
+        kept = batch.select(["id", "high", "low"]).take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int64()), pa.array(again, pa.bool_()),
-             pa.array(seeds, LONGS)], names=["id", "high", "low", "n", "again", "seeds"])
+            [*kept.columns, pa.array(count, pa.int64()), pa.array(again, pa.bool_()), pa.array(seeds, LONGS)], names=["id", "high", "low", "n", "again", "seeds"])
     forget()
     give_back()
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = [_halves(xxhash.xxh3_128_digest(b" ".join(split_words(text)))) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64())], names=["id", "text", "high", "low"])
-    give_back()
-
-
 def _candidates(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterator[pa.RecordBatch]:
     """The runs of a class that can repeat, as starts and edge hashes."""
     for batch in batches:
         starts, edges = [], []
         for text, hot in zip(batch.column("text").to_pylist(), batch.column("hot").to_pylist()):
             hashes = word_hashes(split_words(text))
-            short, least = _seeds(hashes, window)
-            wanted = np.union1d(np.array(hot or [], np.int64).view(np.uint64), _twice(short))
-            at = np.flatnonzero(np.isin(least, wanted))
+            least, _, twice = _seeds(hashes, window)
+            wanted = np.union1d(np.array(hot or [], np.int64).view(np.uint64), twice)
+            turns = np.append(True, least[1:] != least[:-1])  # a seed is that of several windows in turn
+            lengths = np.diff(np.append(np.flatnonzero(turns), len(least)))
+            at = np.flatnonzero(np.repeat(np.isin(least[turns], wanted), lengths))
             starts.append(at.astype(np.int64))
             edges.append((run_hashes(hashes, window)[at] >> np.uint64(64 - bits)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
@@ -122,23 +120,25 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
     for batch in batches:
         counts, gone, kept, checks = [], [], [], []
         for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "spans"))):
-            words, found = split_words(text), []
-            edge = np.zeros(len(words) + 1, np.int64)
-            if copy:
-                edge[0] = 1
-            for span in spans or [] if not copy else []:
-                end = span["start"] + span["length"] + window - 1
-                found.append(dict(zip(("path", "high", "low"), (span["path"], *_halves(xxhash.xxh3_128_digest(b" ".join(words[span["start"]:end])))))))
-                if span["later"]:
-                    edge[span["start"]] += 1
-                    edge[end] -= 1
-            stays = np.cumsum(edge[:-1]) == 0
+            words, found, left = split_words(text), [], []
             counts.append(len(words))
-            gone.append(len(words) - int(stays.sum()))
-            kept.append(b" ".join(w for w, s in zip(words, stays.tolist()) if s).decode("utf-8", "replace"))
+            if not copy:
+                covered, reach = [], 0
+                for span in spans or []:
+                    end = span["start"] + span["length"] + window - 1
+                    high, low = _halves(xxhash.xxh3_128_digest(b" ".join(words[span["start"] : end])))
+                    found.append({"path": span["path"], "high": high, "low": low})
+                    if span["later"]:
+                        covered.append((span["start"], end))
+                for start, end in sorted(covered):
+                    left += words[reach:start]
+                    reach = max(reach, end)
+                left = left + words[reach:] if reach else words
+            gone.append(len(words) - len(left))
+            kept.append(b" ".join(left))
             checks.append(found)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
+            [batch.column("id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
              pa.array(checks, pa.list_(pa.struct([("path", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])))], names=["id", "n_words", "n_removed", "kept", "checks"])
     give_back()
 
@@ -159,34 +159,36 @@ def _with(function, *parameters):
 
 
 class _Corpus:
-    """The classes of a table's texts: nodes with their smallest key, their place and their seeds."""
+    """The classes of a table's texts that have a window: nodes with their smallest key, their place and their seeds."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, window: int):
         self.window = window
-        self.texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+        both = [F.xxhash64(F.lit(k), F.coalesce(F.col(text), F.lit(""))).alias(name) for k, name in enumerate(("high", "low"))]
+        self.texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *both)
         self.kind = docs.schema[key].dataType.simpleString()
         drawn = self.texts.mapInArrow(_with(_drawn, window), f"id {self.kind}, high long, low long, n long, again boolean, seeds array<long>")
-        one = drawn.where(F.col("n") >= window).groupBy("high", "low").agg(
+        one = drawn.groupBy("high", "low").agg(
             F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("again").alias("again"), F.first("seeds").alias("seeds"))
         self.seeded = stored(one.withColumn("node", F.monotonically_increasing_id()), "classes")
         self.classes = placed(self.seeded.select("node", "high", "low", "first", "again", "n"), ["first", "high", "low"], "n", "places")
 
-    def named(self) -> DataFrame:
-        return self.texts.mapInArrow(_named, f"id {self.kind}, text string, high long, low long")
-
     def first_texts(self, wanted: DataFrame) -> DataFrame:
         """wanted(node, ..) with place and text; a repeated row gives its class twice."""
         classes = self.classes.select("node", "place", "first", "high", "low").join(wanted, "node")
-        return self.named().join(classes, ["high", "low"]).where(F.col("id").eqNullSafe(F.col("first.id"))).drop("id", "first", "high", "low")
+        return self.texts.join(classes, ["high", "low"]).where(F.col("id").eqNullSafe(F.col("first.id"))).drop("id", "first", "high", "low")
 
 
-def _repeated_paths(edges: DataFrame) -> DataFrame:
-    """occurrences(edge, after, place) -> paths(edge, path, length): the first edge of each, the place where it first occurs and its
-    number of edges."""
-    graph = stored(edges.groupBy("edge").agg(
+def _graph(edges: DataFrame) -> DataFrame:
+    """occurrences(edge, after, place) -> the edges at several places: how often and where first they occur, and ``after`` where it
+    is the same for all occurrences."""
+    return edges.groupBy("edge").agg(
         F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("after").alias("low"), F.max("after").alias("high"),
         F.count("after").alias("followed")).where("first < last").select(
-            "edge", "n", "first", F.expr("CASE WHEN low = high AND followed = n THEN low END").alias("after")), "graph")
+            "edge", "n", "first", F.expr("CASE WHEN low = high AND followed = n THEN low END").alias("after"))
+
+
+def _paths(graph: DataFrame) -> DataFrame:
+    """The first edge of each path, the place where it first occurs and its number of edges."""
     # An edge that always leads to ``after``, which occurs as often: then every occurrence of it follows one of the edge.
     joined = graph.where("after IS NOT NULL").select(F.col("after").alias("edge"), "n", (F.col("first") + 1).alias("first"), F.lit(True).alias("joined"))
     heads = graph.join(joined, ["edge", "n", "first"], "left").select(
@@ -208,16 +210,19 @@ def _spans(corpus: _Corpus, bits: int) -> DataFrame:
     runs = stored(corpus.first_texts(wanted).mapInArrow(
         _with(_candidates, corpus.window, bits), "node long, place long, starts array<long>, edges array<long>"), "runs")
     every = runs.mapInArrow(_occurrences, "edge long, after long, place long, node long, start long")
-    paths = stored(_repeated_paths(every.select("edge", "after", "place")), "paths")
-    return stored(every.select("edge", "place", "node", "start").join(paths, "edge").select(
+    graph = stored(_graph(every.select("edge", "after", "place")), "graph")
+    paths = stored(_paths(graph), "paths")
+    found = stored(every.select("edge", "place", "node", "start").join(paths, "edge").select(
         "node", "start", "length", "path", (F.col("place") > F.col("path")).alias("later")), "spans")
+    removed(corpus.seeded, runs, graph, paths)
+    return found
 
 
 def _answers(corpus: _Corpus, spans: DataFrame) -> DataFrame:
     """A row for each row of the table: id, n_words, n_removed, kept, checks."""
     listed = spans.groupBy("node").agg(F.collect_set(F.struct("start", "length", "path", "later")).alias("spans"))
     classes = corpus.classes.select("node", "high", "low", "first").join(listed, "node", "left").drop("node")
-    rows = corpus.named().join(classes, ["high", "low"], "left").select(
+    rows = corpus.texts.join(classes, ["high", "low"], "left").select(
         "id", "text", (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))).alias("copy"), "spans")
     return rows.mapInArrow(
         _with(_kept, corpus.window),
