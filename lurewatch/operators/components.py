@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lurewatch.session import cut_lineage
 
 
-def _followed(pointers: DataFrame) -> DataFrame:
+def followed(pointers: DataFrame) -> DataFrame:
     """pointers(component, root) with every pointer followed to its end; the distance doubles per step."""
     while True:
         ends = pointers.select(F.col("component").alias("root"), F.col("root").alias("end"))
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        smallest = _followed(cut_lineage(smallest.select(F.col("a").alias("component"), "root")))
+        smallest = followed(cut_lineage(smallest.select(F.col("a").alias("component"), "root")))
         mapping = cut_lineage(
             mapping.join(smallest, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
         )

@@ -14,6 +14,7 @@ from lurewatch.plans.registry import oracle_view, query
 from lurewatch.sources.tables import Tables
 
 _TS = "yyyy-MM-dd HH:mm:ss"
+MEDIUM = lists.SEVERITY_NAMES.index("MEDIUM")
 stamp = lambda c: F.date_format(c, _TS)
 _APPROVED = sql.values_in(lists.APPROVED_LOGINS)
 _REPORT = "CASE interaction_kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in inc.REPORT_SEVERITY.items()) + " END"
@@ -55,7 +56,36 @@ query("join_evidence_campaign", "SELECT evidence_id, campaign_id FROM v_evidence
     lambda t: t.evidence.where("message_id is not null").join(t.campaign_of, "message_id", "left").select("evidence_id", "campaign_id"))
 query("join_evidence_latest_campaign", "SELECT evidence_id, campaign_id FROM v_exposure WHERE message_id IS NULL")(
     lambda t: t.exposures.where("message_id is null").select("evidence_id", "campaign_id"))
-query("incident_route", "SELECT evidence_id, incident_id, severity FROM v_exposure")(lambda t: t.exposures.select("evidence_id", "incident_id", "severity"))
+# Evidence and containments in one order, worked off one by one: ``book`` holds a row for each incident (k >= 0) and each routed
+# evidence (k < -1), row -1 tells the step.
+oracle_view("v_happening", """
+SELECT row_number() OVER (ORDER BY ts, rank, id) AS i, * FROM (
+  SELECT ts, 1 AS rank, evidence_id AS id, employee_id AS who, campaign_id AS camp FROM v_exposure
+  UNION ALL SELECT DISTINCT acted, 0, -1, NULL, campaign_id FROM v_step JOIN v_campaign USING (message_id) WHERE step = 'quarantine_messages'
+  UNION ALL SELECT DISTINCT acted, 0, -1, employee_id, NULL FROM v_step WHERE step IN ('revoke_sessions', 'reset_credentials'))""")
+oracle_view("v_book", """
+SELECT * FROM (WITH RECURSIVE book(k, i, root, camp, people, opened, closed) USING KEY (k) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP)
+  UNION
+  SELECT r.k, r.i, r.root, r.camp, r.people, r.opened, r.closed FROM (
+    SELECT unnest(list_prepend({'k': CAST(-1 AS BIGINT), 'i': i, 'root': CAST(NULL AS BIGINT), 'camp': CAST(NULL AS VARCHAR), 'people': CAST([] AS BIGINT[]), 'opened': CAST(NULL AS BIGINT), 'closed': CAST(NULL AS TIMESTAMP)},
+      CASE WHEN rank = 0 THEN coalesce(shut, []) ELSE [
+        {'k': coalesce(hit.k, id), 'i': i, 'root': coalesce(hit.k, id), 'camp': coalesce(hit.camp, camp), 'people': list_distinct(list_append(coalesce(hit.people, CAST([] AS BIGINT[])), who)),
+         'opened': coalesce(hit.opened, i), 'closed': CAST(NULL AS TIMESTAMP)},
+        {'k': -2 - id, 'i': i, 'root': coalesce(hit.k, id), 'camp': CAST(NULL AS VARCHAR), 'people': CAST([] AS BIGINT[]), 'opened': CAST(NULL AS BIGINT), 'closed': CAST(NULL AS TIMESTAMP)}] END)) AS r
+    FROM (SELECT h.i, h.rank, h.id, h.who, h.camp,
+        coalesce(arg_min({'k': x.k, 'camp': x.camp, 'people': x.people, 'opened': x.opened}, x.opened) FILTER (x.camp = h.camp),
+                 arg_max({'k': x.k, 'camp': x.camp, 'people': x.people, 'opened': x.opened}, x.opened) FILTER (h.camp IS NULL AND list_contains(x.people, h.who))) AS hit,
+        list({'k': x.k, 'i': h.i, 'root': x.root, 'camp': x.camp, 'people': x.people, 'opened': x.opened, 'closed': h.ts}) FILTER (h.rank = 0 AND (x.camp = h.camp OR list_contains(x.people, h.who))) AS shut
+      FROM book s JOIN v_happening h ON s.k = -1 AND h.i = s.i + 1 LEFT JOIN recurring.book x ON x.k >= 0 AND x.closed IS NULL
+      GROUP BY h.i, h.rank, h.id, h.who, h.camp)))
+  SELECT * FROM book)""")
+oracle_view("v_case", "SELECT -2 - k AS evidence_id, root FROM v_book WHERE k < -1")
+query("incident_route", """
+SELECT evidence_id, 'inc-' || root AS incident_id, severity, CASE WHEN closed IS NULL THEN 'open' ELSE 'contained' END AS status
+FROM v_exposure JOIN v_case USING (evidence_id) JOIN (SELECT k AS root, closed FROM v_book WHERE k >= 0) USING (root)""")(
+    lambda t: t.exposures.select("evidence_id", "severity").join(t.cases.select("evidence_id", "root"), "evidence_id").join(t.casebook.select("root", "status"), "root")
+    .select("evidence_id", F.concat(F.lit("inc-"), F.col("root").cast("string")).alias("incident_id"), "severity", "status"))
 query("incident_escalation", "SELECT incident_id, max(severity) AS severity FROM v_exposure GROUP BY ALL")(
     lambda t: t.exposures.groupBy("incident_id").agg(F.max("severity").alias("severity")))
 oracle_view("v_change", """
@@ -63,22 +93,6 @@ SELECT evidence_id, incident_id, ts, severity, CASE WHEN before IS NULL THEN 'in
 FROM (SELECT *, max(severity) OVER (PARTITION BY incident_id ORDER BY ts, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v_exposure)""")
 query("win_escalation_change", "SELECT evidence_id, incident_id, event FROM v_change")(
     lambda t: inc.changes(t.exposures).select("evidence_id", "incident_id", "event"))
-oracle_view("v_feed", """
-SELECT event, incident_id AS key, count(*) AS n FROM v_change GROUP BY ALL UNION ALL
-SELECT 'message.scored', CAST(message_id AS VARCHAR), count(*) FROM v_evidence WHERE kind = 'email_scored' GROUP BY ALL UNION ALL
-SELECT 'campaign.updated', campaign_id, count(*) - 1 FROM v_campaign GROUP BY ALL""")
-
-
-@query("sink_change_feed", "SELECT * FROM v_feed")
-def sink_change_feed(t: Tables) -> DataFrame:
-    """Feed events per key: incident changes, scored mails, and one campaign update per mail that joined."""
-    changed = inc.changes(t.exposures).groupBy("event", F.col("incident_id").alias("key")).agg(F.count("*").alias("n"))
-    scored = t.evidence.where("kind = 'email_scored'").groupBy(F.col("message_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
-    joined = t.campaign_of.groupBy(F.col("campaign_id").alias("key")).agg((F.count("*") - 1).alias("n"))
-    return changed.unionByName(scored.withColumn("event", F.lit("message.scored"))).unionByName(
-        joined.withColumn("event", F.lit("campaign.updated")))
-
-
 query("win_alert_dedupe", f"SELECT incident_id, severity, {sql.ts('min(ts)')} AS at FROM v_exposure WHERE severity >= 2 GROUP BY incident_id, severity")(
     lambda t: t.exposures.where("severity >= 2").groupBy("incident_id", "severity").agg(stamp(F.min("ts")).alias("at")))
 oracle_view("v_incident", """
@@ -194,11 +208,22 @@ def campaign_types(t: Tables) -> DataFrame:
 
 query("incident_type", "SELECT campaign_id, type FROM v_ctype")(lambda t: campaign_types(t).select("campaign_id", "type"))
 query("incident_invoice", f"""
-SELECT campaign_id, n AS messages, coalesce(e, 0) AS evidence FROM v_ctype LEFT JOIN (SELECT campaign_id, count(*) AS e FROM v_evidence JOIN v_campaign USING (message_id)
-  WHERE kind = 'email_scored' GROUP BY ALL) USING (campaign_id) WHERE type = 'invoice_fraud' AND n >= {lists.INVOICE_MIN_MESSAGES}""")(
-    lambda t: campaign_types(t).where((F.col("type") == "invoice_fraud") & (F.col("n") >= lists.INVOICE_MIN_MESSAGES)).join(
-        t.evidence.where("kind = 'email_scored'").join(t.campaign_of, "message_id").groupBy("campaign_id").agg(F.count("*").alias("e")), "campaign_id", "left")
-    .select("campaign_id", F.col("n").alias("messages"), F.coalesce("e", F.lit(0)).alias("evidence")))
+SELECT campaign_id, 'inc-' || campaign_id AS incident_id, 'invoice_fraud' AS type, CAST({MEDIUM} AS INTEGER) AS severity, n AS messages, coalesce(e, 0) AS evidence, coalesce(a, 0) AS affected
+FROM v_ctype LEFT JOIN (SELECT campaign_id, count(*) AS e, count(DISTINCT employee_id) AS a FROM v_evidence JOIN v_campaign USING (message_id)
+  WHERE kind = 'email_scored' GROUP BY ALL) USING (campaign_id)
+WHERE type = 'invoice_fraud' AND n >= {lists.INVOICE_MIN_MESSAGES} AND campaign_id NOT IN (SELECT camp FROM v_book WHERE k >= 0 AND closed IS NULL AND camp IS NOT NULL)""")(lambda t: _invoices(t))
+
+
+def _invoices(t: Tables) -> DataFrame:
+    """Link-free money campaigns of some size that have no open incident get a MEDIUM one; their delivery records are its evidence."""
+    large = campaign_types(t).where((F.col("type") == "invoice_fraud") & (F.col("n") >= lists.INVOICE_MIN_MESSAGES))
+    delivered = t.evidence.where("kind = 'email_scored'").join(t.campaign_of, "message_id").groupBy("campaign_id").agg(
+        F.count("*").alias("e"), F.countDistinct("employee_id").alias("a"))
+    return large.join(t.casebook.where("status = 'open'").select("campaign_id"), "campaign_id", "left_anti").join(delivered, "campaign_id", "left").select(
+        "campaign_id", F.concat(F.lit("inc-"), "campaign_id").alias("incident_id"), "type", F.lit(MEDIUM).alias("severity"),
+        F.col("n").alias("messages"), F.coalesce("e", F.lit(0)).alias("evidence"), F.coalesce("a", F.lit(0)).alias("affected"))
+
+
 # Priority of the incident types over signal categories.
 TYPE_PRIORITY = [("Credential phishing", ["credential_request", "lookalike_domain"]), ("Invoice fraud", ["payment_change"]),
                  ("CEO fraud", ["gift_card", "colleague_impersonation"]), ("Malicious attachment", ["risky_attachment"]), ("MFA fraud", ["mfa_code_request"])]
@@ -213,18 +238,29 @@ def _any(categories: list[str]):
     return F.arrays_overlap(F.transform("signals", lambda s: s["category"]), F.array(*map(F.lit, categories)))
 
 
-_BEFORE = """SELECT evidence_id, 'inc-' || coalesce('msg-' || CAST(message_id AS VARCHAR), 'emp-' || CAST(employee_id AS VARCHAR)) AS early, incident_id, severity FROM v_exposure"""
-query("incident_merge", f"SELECT incident_id, count(DISTINCT early) AS merged, max(severity) AS severity, count(*) AS evidence FROM ({_BEFORE}) GROUP BY incident_id")(
-    lambda t: _early(t).groupBy("incident_id").agg(F.countDistinct("early").alias("merged"), F.max("severity").alias("severity"), F.countDistinct("evidence_id").alias("evidence")))
-query("join_link_incidents", f"SELECT DISTINCT early, substr(incident_id, 5) AS campaign_id FROM ({_BEFORE}) WHERE incident_id LIKE 'inc-camp-%'")(
-    lambda t: _early(t).where(F.col("incident_id").startswith("inc-camp-")).select("early", F.expr("substr(incident_id, 5)").alias("campaign_id")).distinct())
+_BEFORE = """SELECT evidence_id, ts, 'inc-' || coalesce('msg-' || CAST(message_id AS VARCHAR), 'emp-' || CAST(employee_id AS VARCHAR)) AS early, incident_id, severity FROM v_exposure"""
+query("incident_merge", f"SELECT incident_id, arg_min(early, (ts, evidence_id)) AS survivor, count(DISTINCT early) AS merged, max(severity) AS severity, count(*) AS evidence FROM ({_BEFORE}) GROUP BY incident_id")(
+    lambda t: _early(t).groupBy("incident_id").agg(F.min_by("early", F.struct("ts", "evidence_id")).alias("survivor"), F.countDistinct("early").alias("merged"),
+                                                   F.max("severity").alias("severity"), F.countDistinct("evidence_id").alias("evidence")))
+query("join_link_incidents", """
+SELECT c.campaign_id, 'inc-' || root AS incident_id FROM v_exposure e JOIN v_campaign c USING (message_id) JOIN v_case USING (evidence_id) WHERE root IN (SELECT k FROM v_book WHERE k >= 0 AND closed IS NULL)
+UNION SELECT camp, 'inc-' || k FROM v_book WHERE k >= 0 AND closed IS NULL AND camp IS NOT NULL""")(lambda t: _touching(t))
+
+
+def _touching(t: Tables) -> DataFrame:
+    """Open incidents that touch a campaign, by evidence about its mail or as the campaign's own."""
+    name = F.concat(F.lit("inc-"), F.col("root").cast("string")).alias("incident_id")
+    live = t.casebook.where("status = 'open'")
+    about = t.exposures.where("message_id is not null").select("evidence_id", "message_id").join(t.campaign_of, "message_id").join(
+        t.cases.select("evidence_id", "root"), "evidence_id").join(live.select("root"), "root", "left_semi").select("campaign_id", name)
+    return about.union(live.where("campaign_id is not null").select("campaign_id", name)).distinct()
 
 
 def _early(t: Tables) -> DataFrame:
     """Incidents as they opened before the campaign was known: one per mail, else per employee."""
     own = F.concat(F.lit("emp-"), F.col("employee_id").cast("string"))
     mail = F.concat(F.lit("msg-"), F.col("message_id").cast("string"))
-    return t.exposures.select("evidence_id", "incident_id", "severity", F.concat(F.lit("inc-"), F.coalesce(mail, own)).alias("early"))
+    return t.exposures.select("evidence_id", "ts", "incident_id", "severity", F.concat(F.lit("inc-"), F.coalesce(mail, own)).alias("early"))
 
 
 query("incident_group_view", f"""

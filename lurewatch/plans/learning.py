@@ -14,8 +14,9 @@ from lurewatch.operators import incidents as inc
 from lurewatch.plans import sql
 from lurewatch.plans.registry import oracle_view, query
 from lurewatch.plans.response import typed_incidents
-from lurewatch.session import shared_folder
+from lurewatch.session import cut_lineage, shared_folder
 from lurewatch.sources import mailfiles
+from lurewatch.sources.keyed import KeyedTable, newest
 from lurewatch.sources.tables import Tables
 
 # --- corpus ---------------------------------------------------------------------------------------
@@ -113,15 +114,51 @@ def parsed(t: Tables) -> DataFrame:
     return mailfiles.parse(mailfiles.as_eml(t.messages)).withColumn("message_id", F.col("id").cast("bigint"))
 
 
-query("udtf_parse_eml", "SELECT message_id, subject, sender, 'user' || recipient_id || '@" + lists.ORG_DOMAIN + "' AS recipients, CAST(epoch(received_at) AS BIGINT) AS received FROM v_message")(
+_URLS = "(SELECT message_id, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT message_id, url FROM v_link UNION SELECT message_id, url FROM v_textlink) GROUP BY ALL)"
+_KEY = "'eml-' || sha256('<' || message_id || '@mail>|user' || recipient_id || '@" + lists.ORG_DOMAIN + "')[:16]"
+_sorted_urls = lambda: F.array_join(F.array_sort(F.array_distinct(F.transform("urls", lambda l: l["url"]))), " ")
+query("udtf_parse_eml", f"""
+SELECT message_id, subject, sender, 'user' || recipient_id || '@{lists.ORG_DOMAIN}' AS recipients, CAST(epoch(received_at) AS BIGINT) AS received, {_KEY} AS key, coalesce(urls, '') AS urls
+FROM v_message LEFT JOIN {_URLS} USING (message_id)""")(
     lambda t: parsed(t).where("error is null").select(
-        "message_id", "subject", "sender", F.array_join("recipients", ",").alias("recipients"), F.unix_timestamp("received_at").alias("received")))
-query("src_eml_files", "SELECT message_id, length(body_text) AS n FROM v_message")(
-    lambda t: parsed(t).select("message_id", F.length(F.regexp_replace("body_text", "\r?\n$", "")).cast("bigint").alias("n")))
-query("parse_headers", "SELECT message_id, 4 + 2 + (CASE WHEN auth IS NULL THEN 0 ELSE 2 END) + (CASE WHEN return_path IS NULL THEN 0 ELSE 1 END) + 3 AS n FROM v_message")(
-    lambda t: parsed(t).select("message_id", F.size("headers").alias("n")))
-query("parse_sender", "SELECT message_id, sender, sender_name FROM v_message WHERE sender <> ''")(
-    lambda t: parsed(t).where("sender <> ''").select("message_id", "sender", "sender_name"))
+        "message_id", "subject", "sender", F.array_join("recipients", ",").alias("recipients"), F.unix_timestamp("received_at").alias("received"),
+        F.col("message_key").alias("key"), _sorted_urls().alias("urls")))
+#: Every fiftieth file is no mail.
+_BROKEN = "message_id % 50 = 49"
+
+
+@query("src_eml_files", f"""
+SELECT message_id, CASE WHEN {_BROKEN} THEN 'not a mail' ELSE 'mail' END AS outcome, CASE WHEN NOT {_BROKEN} THEN {_KEY} END AS key,
+  CASE WHEN NOT {_BROKEN} THEN coalesce(urls, '') END AS urls, CASE WHEN NOT {_BROKEN} THEN CAST(length(body_text) AS BIGINT) END AS n,
+  CASE WHEN NOT {_BROKEN} THEN risk END AS risk, CASE WHEN NOT {_BROKEN} THEN score END AS score
+FROM v_message LEFT JOIN {_URLS} USING (message_id) JOIN (SELECT message_id, CAST(risk AS INTEGER) AS risk, CAST(score AS INTEGER) AS score FROM v_risk) USING (message_id)""")
+def src_eml_files(t: Tables) -> DataFrame:
+    """File to assessment: tasks write a file for each mail, the files are read and parsed, the rules run on what was parsed. Files that
+    are no mails are the rejects."""
+    folder = f"{shared_folder(t.spark)}/mail-{uuid.uuid4().hex}"
+    files = mailfiles.as_eml(t.messages)
+    mailfiles.write_eml(files.withColumn("content", F.when(F.col("id").cast("bigint") % 50 == 49, F.encode(F.lit("just some text"), "UTF-8")).otherwise(F.col("content"))), folder)
+    read = cut_lineage(mailfiles.read_eml(t.spark, folder, "*.txt").withColumn("message_id", F.regexp_extract("id", "id=([0-9]+)", 1).cast("bigint")))
+    mails = mailfiles.as_messages(read, t.employees).withColumn("message_id", F.regexp_extract("id", "id=([0-9]+)", 1).cast("bigint"))
+    assessed = fusion.fuse(rules.detected(mails, t.employees, rules.blocklist(t.spark))).select(
+        "message_id", F.col("risk").cast("int").alias("risk"), F.col("score").cast("int").alias("score"))
+    about = mails.select("message_id", F.col("message_key").alias("key"), _sorted_urls().alias("urls"), F.length("body_text").cast("bigint").alias("n"))
+    return read.select("message_id", F.coalesce("error", F.lit("mail")).alias("outcome")).join(about, "message_id", "left").join(assessed, "message_id", "left").select(
+        "message_id", "outcome", "key", "urls", "n", "risk", "score")
+
+
+query("parse_headers", """
+SELECT message_id, string_agg(name || ': ' || value, chr(10) ORDER BY name, value) AS headers FROM (
+  SELECT message_id, unnest([{'name': 'Authentication-Results', 'value': auth},
+    {'name': 'Authentication-Results', 'value': CASE WHEN auth IS NOT NULL THEN 'relay.test; spf=pass; dkim=pass; dmarc=pass' END},
+    {'name': 'Message-ID', 'value': '<' || message_id || '@mail>'}, {'name': 'Received', 'value': 'from relay ([' || hop_ip || ']) by mx'},
+    {'name': 'Received', 'value': 'from far ([192.0.2.66]) by relay'}, {'name': 'Reply-To', 'value': reply_to}, {'name': 'Return-Path', 'value': return_path},
+    {'name': 'Subject', 'value': subject}], recursive := TRUE) FROM v_message) WHERE value IS NOT NULL GROUP BY message_id""")(
+    lambda t: parsed(t).select("message_id", F.array_join(F.transform(F.array_sort(F.transform(F.filter(
+        "headers", lambda h: h["name"].isin("Authentication-Results", "Message-ID", "Received", "Reply-To", "Return-Path", "Subject")),
+        lambda h: F.struct(h["name"].alias("name"), h["value"].alias("value")))), lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n").alias("headers")))
+query("parse_sender", "SELECT message_id, sender, sender_name, lower(reply_to) AS reply_to FROM v_message WHERE sender <> ''")(
+    lambda t: parsed(t).where("sender <> ''").select("message_id", "sender", "sender_name", "reply_to"))
 query("parse_body", "SELECT message_id, md5(body_text) AS body FROM v_message")(
     lambda t: parsed(t).select("message_id", F.md5(F.regexp_replace("body_text", "\r?\n$", "")).alias("body")))
 query("parse_attachments", "SELECT message_id, filename, lower(content_type) AS content_type FROM v_message WHERE filename IS NOT NULL")(
@@ -224,10 +261,32 @@ query("src_org_json", "SELECT employee_id, name, email, department FROM v_employ
     lambda t: roundtrip(t.employees, t, "json").select("employee_id", "name", "email", "department"))
 query("sink_employee_seed", "SELECT employee_id, name, email, department FROM v_employee")(
     lambda t: roundtrip(t.employees.select("employee_id", "name", "email", "department"), t, "parquet"))
-query("sink_message_upsert", f"SELECT message_id, recipient_id, risk, {sql.ts('received_at')} AS at FROM v_risk")(
-    lambda t: roundtrip(t.scored.join(t.employees.select(F.col("employee_id").alias("recipient_id")), "recipient_id", "left_semi").groupBy("message_id").agg(
-        F.max_by(F.struct("recipient_id", "risk", "received_at"), "received_at").alias("m")).select(
-        "message_id", "m.recipient_id", "m.risk", F.date_format("m.received_at", "yyyy-MM-dd HH:mm:ss").alias("at")), t, "parquet"))
+#: Every seventeenth mail names a recipient whom nobody knows.
+_UNKNOWN = 10**9
+
+
+@query("sink_message_upsert", f"""
+SELECT message_id, recipient_id, risk, moment AS at, CAST(CASE WHEN message_id % 17 = 3 THEN NULL WHEN message_id % 2 = 0 THEN 2 ELSE message_id % 3 END AS INTEGER) AS seen,
+  CASE WHEN message_id % 17 = 3 THEN 'rejected' ELSE 'stored' END AS outcome
+FROM (SELECT message_id, recipient_id + CASE WHEN message_id % 17 = 3 THEN {_UNKNOWN} ELSE 0 END AS recipient_id, CAST(risk AS INTEGER) AS risk, {sql.ts('received_at')} AS moment FROM v_risk)""")
+def sink_message_upsert(t: Tables) -> DataFrame:
+    """Three batches of mails; half of the earlier ones come again. Known recipients are inserted or updated by message id, the others
+    go to the rejects, which are keyed, too."""
+    key = ["message_id"]
+    schema = "message_id long, recipient_id long, risk int, at string, seen int"
+    stored, rejects = (KeyedTable(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}", schema, key, newest(key, ["seen"])) for name in ("messages", "rejects"))
+    mails = t.scored.select("message_id", (F.col("recipient_id") + F.when(F.col("message_id") % 17 == 3, _UNKNOWN).otherwise(0)).alias("recipient_id"),
+                            F.col("risk").cast("int").alias("risk"), F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    people = t.employees.select(F.col("employee_id").alias("recipient_id"))
+    part = F.col("message_id") % 3
+    for number in range(3):
+        batch = mails.where((part == number) | ((part < number) & (F.col("message_id") % 2 == 0))).withColumn("seen", F.lit(number))
+        stored.apply(batch.join(people, "recipient_id", "left_semi"), number)
+        rejects.apply(batch.join(people, "recipient_id", "left_anti"), number)
+    refused = rejects.read().withColumn("seen", F.lit(None).cast("int")).withColumn("outcome", F.lit("rejected"))
+    return stored.read().withColumn("outcome", F.lit("stored")).unionByName(refused)
+
+
 query("src_approved_logins", f"SELECT evidence_id, domain IN {sql.values_in(lists.APPROVED_LOGINS)} AS approved FROM v_evidence WHERE kind = 'password_reuse'")(
     lambda t: t.evidence.where("kind = 'password_reuse'").select("evidence_id", inc.approved(F.col("domain")).alias("approved")))
 query("src_reference_lists", f"SELECT link_id, {sql.reg('host')} IN {sql.values_in(lists.SHORTENERS)} AS short, {sql.reg('host')} IN {sql.values_in(rules.REAL_DOMAINS)} AS real FROM v_urlhost")(

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators import fusion, rules
 from lurewatch.operators import incidents as inc
+from lurewatch.plans import sql
+from lurewatch.plans.incidents import stamp
 from lurewatch.plans.registry import query
 from lurewatch.plans.response import tokens
+from lurewatch.sources.keyed import KeyedTable, newest
 from lurewatch.sources.tables import Tables
 from lurewatch.streaming import live
 
@@ -50,30 +53,32 @@ def st_password_signin(t: Tables) -> DataFrame:
     return live.to_table(both.select("evidence_id", "password_id"), "signins")
 
 
-def _live_exposures(t: Tables) -> DataFrame:
-    evidence = t.evidence_of(t.stream("events")).where(~((F.col("kind") == "password_reuse") & inc.approved(F.col("domain"))))
-    level = inc.severity(F.col("kind"), F.col("interaction_kind"))
-    own = F.concat(F.lit("emp-"), F.col("employee_id").cast("string"))
-    return evidence.withColumn("severity", level).where("severity is not null").join(t.campaign_of, "message_id", "left").withColumn(
-        "incident_id", F.concat(F.lit("inc-"), F.coalesce("campaign_id", own)))
+#: Parts of the evidence, by id, in the order in which they arrive: in no order of time.
+ARRIVAL = [3, 0, 4, 1, 2]
+_PART = F.col("evidence_id") % 5
 
 
-_OPENED = """(SELECT *, 'inc-' || coalesce(c.campaign_id, 'emp-' || CAST(employee_id AS VARCHAR)) AS incident_id, CAST(CASE WHEN kind = 'link_clicked' THEN 2
-  WHEN kind IN ('password_reuse', 'unusual_signin') OR interaction_kind = 'password' THEN 3 WHEN interaction_kind IN ('clicked', 'downloaded', 'other_info') THEN 2 END AS INTEGER) AS sev
-  FROM v_evidence e LEFT JOIN v_campaign c USING (message_id) WHERE NOT (kind = 'password_reuse' AND domain LIKE '%corvane%'))"""
+@query("st_incident_state", f"SELECT incident_id, severity, affected, evidence, {sql.ts('created_at')} AS created_at, {sql.ts('last_at')} AS last_at FROM v_incident")
+def st_incident_state(t: Tables) -> DataFrame:
+    """Evidence arrives in five parts; each batch is gated and routed as in batch, and merged into the state of the incidents that it
+    touches. Nothing else is written again."""
+    state = live.incident_state(t.spark, "incidents")
 
+    def step(batch: DataFrame, number: int) -> None:
+        routed = inc.route(batch, t.scored.select("message_id", "risk"), t.campaign_of, t.linked_campaign_mail)
+        state.apply(live.incident_parts(routed), number)
 
-@query("st_incident_state", f"SELECT incident_id, max(sev) AS severity, count(*) AS evidence FROM {_OPENED} WHERE sev IS NOT NULL GROUP BY incident_id")
-def st_incident_state(t: Tables) -> DataFrame:
-    """Severity per incident as keyed streaming state; the maximum combines before the shuffle."""
-    state = _live_exposures(t).groupBy("incident_id").agg(F.max("severity").alias("severity"), F.count("*").alias("evidence"))
-    return live.per_batch(state, "incidents", lambda b: b, "complete").select("incident_id", "severity", "evidence")
+    live.arrivals(t.evidence, _PART, ARRIVAL, "evidence", step)
+    return live.incident_view(state).withColumn("created_at", stamp("created_at")).withColumn("last_at", stamp("last_at"))
 
 
-@query("st_upsert_view", f"SELECT incident_id, arg_max(evidence_id, (ts, evidence_id)) AS latest FROM {_OPENED} WHERE sev IS NOT NULL GROUP BY incident_id")
+@query("st_upsert_view", "SELECT incident_id, arg_max(evidence_id, (ts, evidence_id)) AS latest FROM v_exposure GROUP BY incident_id")
 def st_upsert_view(t: Tables) -> DataFrame:
-    latest = _live_exposures(t).groupBy("incident_id").agg(F.max(F.struct("ts", "evidence_id")).alias("m"))
-    return live.per_batch(latest.select("incident_id", F.col("m.evidence_id").alias("latest")), "latest", lambda b: b, "complete").select("incident_id", "latest")
+    """The latest evidence of each incident, inserted or updated by key as it arrives."""
+    key = ["incident_id"]
+    latest = KeyedTable(t.spark, live.new_folder(t.spark, "latest"), "incident_id string, ts timestamp, evidence_id long", key, newest(key, ["ts", "evidence_id"]))
+    live.arrivals(t.exposures.select("incident_id", "ts", "evidence_id"), _PART, ARRIVAL, "exposures", latest.apply)
+    return latest.read().select("incident_id", F.col("evidence_id").alias("latest"))
 
 
 @query("st_late_link", "SELECT evidence_id, campaign_id FROM v_evidence JOIN v_campaign USING (message_id) WHERE kind = 'link_clicked'")
@@ -84,16 +89,21 @@ def st_late_link(t: Tables) -> DataFrame:
     return clicks.join(t.campaign_of, "message_id").select("evidence_id", "campaign_id")
 
 
-@query("st_change_feed", "SELECT evidence_id, incident_id, event FROM v_change")
+@query("st_change_feed", f"""
+SELECT CASE WHEN was IS NULL THEN 'incident.created' WHEN severity > was THEN 'incident.escalated' ELSE 'incident.updated' END AS event, incident_id, batch
+FROM (SELECT *, max(severity) OVER (PARTITION BY incident_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM (
+  SELECT incident_id, CAST(list_position({ARRIVAL}, evidence_id % 5) - 1 AS BIGINT) AS batch, max(severity) AS severity FROM v_exposure GROUP BY ALL))""")
 def st_change_feed(t: Tables) -> DataFrame:
-    """Evidence comes in several files, a file a micro-batch and in no order of time. Each batch leaves its rows and its
-    first evidence per incident; both merge by key, so the feed is the same in whatever order the files come."""
-    folder = live.new_folder(t.spark, "exposures")
-    t.exposures.repartition(5, "evidence_id").write.parquet(folder)
-    stream = t.spark.readStream.schema(t.exposures.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = live.per_batch(stream, "feed", lambda batch: batch)
-    known = inc.merged_firsts(live.per_batch(stream, "feed-firsts", inc.firsts))
-    return inc.changes(rows, known).select("evidence_id", "incident_id", "event")
+    """Events leave with the batch that causes them: what it changes against the state before. They are written under the number of the
+    batch, before the state moves on, so a repeated batch gives the same events again in the same place."""
+    state, feed = live.incident_state(t.spark, "feed-state"), live.new_folder(t.spark, "feed")
+
+    def step(batch: DataFrame, number: int) -> None:
+        live.changed_incidents(batch, state.before(number)).write.mode("overwrite").parquet(f"{feed}/batch={number}")
+        state.apply(live.incident_parts(batch), number)
+
+    live.arrivals(t.exposures, _PART, ARRIVAL, "exposures", step)
+    return t.spark.read.parquet(feed).select("event", "incident_id", F.col("batch").cast("long").alias("batch"))
 
 
 @query("st_campaign_incremental", "SELECT * FROM v_campaign")

@@ -247,6 +247,36 @@ def _dashboard(t: Tables) -> DataFrame:
     return one(a).join(one(b), "one").join(one(c), "one").join(one(d), "one").drop("one")
 
 
+oracle_view("v_feed", f"""
+SELECT event, incident_id AS key, CAST(evidence_id AS VARCHAR) AS cause, ts AS moment FROM v_change
+UNION ALL SELECT 'message.scored', CAST(message_id AS VARCHAR), CAST(evidence_id AS VARCHAR), ts FROM v_evidence WHERE kind = 'email_scored'
+UNION ALL SELECT 'campaign.updated', campaign_id, CAST(message_id AS VARCHAR), received_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY received_at, message_id) AS rn FROM v_member) WHERE rn > 1
+UNION ALL SELECT 'containment.done', 'inc-' || k, 'contained', closed FROM v_book WHERE k >= 0 AND closed IS NOT NULL
+UNION ALL SELECT 'recovery.updated', incident_id, CAST(log_id AS VARCHAR), acted FROM v_log l JOIN v_item i USING (incident_id, key)
+  WHERE NOT (verb = 'complete' AND needs_approval AND NOT coalesce((SELECT min(acted) FROM v_log x WHERE x.incident_id = l.incident_id AND x.key = l.key AND x.verb = 'approve') <= acted, FALSE))""")
+
+
+@query("sink_change_feed", f"SELECT event, key, cause, {sql.ts('moment')} AS at FROM v_feed")
+def sink_change_feed(t: Tables) -> DataFrame:
+    """All seven kinds of feed events, one row each, with what caused it and when."""
+    row = lambda event, key, cause, at: [F.lit(event).alias("event"), key.cast("string").alias("key"), cause.cast("string").alias("cause"), at.alias("at")]
+    changed = inc.changes(t.exposures).select("event", F.col("incident_id").alias("key"), F.col("evidence_id").cast("string").alias("cause"), F.col("ts").alias("at"))
+    scored = t.evidence.where("kind = 'email_scored'").select(*row("message.scored", F.col("message_id"), F.col("evidence_id"), F.col("ts")))
+    order = F.struct("received_at", "message_id")
+    first = t.members.groupBy("campaign_id").agg(F.min(order)["message_id"].alias("first"))
+    joined = t.members.join(first, "campaign_id").where("message_id <> first").select(*row("campaign.updated", F.col("campaign_id"), F.col("message_id"), F.col("received_at")))
+    closed = t.casebook.where("closed_at is not null").select(*row("containment.done", F.concat(F.lit("inc-"), F.col("root").cast("string")), F.lit("contained"), F.col("closed_at")))
+    log = toggles(t)
+    approved = log.where("verb = 'approve'").groupBy("incident_id", "key").agg(F.min("at").alias("approved_at"))
+    items = res.checklist_items(typed_incidents(t)).select("incident_id", "key", "needs_approval")
+    early = (F.col("verb") == "complete") & F.col("needs_approval") & ~F.coalesce(F.col("approved_at") <= F.col("at"), F.lit(False))
+    acts = log.join(items, ["incident_id", "key"]).join(approved, ["incident_id", "key"], "left").where(~early)
+    acts = acts.select(*row("recovery.updated", F.col("incident_id"), F.col("log_id"), F.col("at")))
+    every = changed.unionByName(scored).unionByName(joined).unionByName(closed).unionByName(acts)
+    return every.withColumn("at", stamp("at"))
+
+
 query("set_merge_event_logs", "SELECT event_id, count(*) AS copies FROM (SELECT event_id FROM events UNION SELECT event_id FROM events) GROUP BY event_id")(
     lambda t: t.read("events").unionByName(t.read("events")).dropDuplicates(["event_id"])
     .select("event_id", F.lit(1).cast("bigint").alias("copies")))

@@ -16,6 +16,7 @@ from lurewatch.operators import rules
 from lurewatch.plans import sql
 from lurewatch.plans.registry import oracle_view, query
 from lurewatch.sources.mailfiles import Reader
+from lurewatch.sources.mailfiles import links as mail_links
 
 DEMO_SITE = "http://localhost:8000/demo"
 
@@ -199,11 +200,11 @@ query("links_text", "SELECT * FROM v_textlink")(
 
 
 def _deduped(t):
-    """Text links that the HTML part also has are dropped; inside one row, so nothing is shuffled."""
-    html = F.transform(html_links(F.coalesce("body_html", F.lit(""))), lambda l: l["url"])
-    m = t.messages.select("message_id", html.alias("html"), url_fn.urls_in_text(F.col("body_text")).alias("plain"))
-    kept = F.concat(F.array_distinct("html"), F.array_except("plain", "html"))
-    return m.select("message_id", F.explode(kept).alias("url"))
+    """Each (address, text) of the HTML part once, and text links that it does not have; inside one row, so nothing is shuffled."""
+    html = F.transform(_page_links(F.coalesce("body_html", F.lit(""))), lambda l: F.struct(l["url"].alias("url"), l["anchor"].alias("anchor_text")))
+    return t.messages.select("message_id", F.explode(mail_links(html, F.col("body_text"))).alias("l")).select("message_id", "l.url", F.col("l.anchor_text").alias("anchor"))
 
 
-query("link_dedupe", "SELECT message_id, url FROM v_link UNION SELECT message_id, url FROM v_textlink")(_deduped)
+query("link_dedupe", """
+SELECT message_id, url, nullif(trim(anchor_text), '') AS anchor FROM v_link WHERE found_in = 'html'
+UNION SELECT message_id, url, NULL FROM v_textlink x WHERE NOT EXISTS (SELECT 1 FROM v_link l WHERE l.message_id = x.message_id AND l.found_in = 'html' AND l.url = x.url)""")(_deduped)

@@ -304,6 +304,27 @@ class Tables:
         )
         return cut_lineage(routed)
 
+    @cached_property
+    def closings(self) -> tuple[DataFrame, DataFrame]:
+        """When approved containments close incidents: by campaign and by employee."""
+        from lurewatch.operators import casebook, response
+
+        return casebook.containments(response.steps(response.approved_actions(self.actions, self.employees)), self.campaign_of)
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        """Each exposure with the evidence that opened its incident, containments considered. Kept in the shared folder."""
+        from lurewatch.operators import casebook
+
+        return casebook.route(self.exposures, *self.closings)
+
+    @cached_property
+    def casebook(self) -> DataFrame:
+        """One row per incident, with its status. Kept in the shared folder."""
+        from lurewatch.operators import casebook
+
+        return cut_lineage(casebook.book(self.exposures, self.cases, *self.closings))
+
     @cached_property
     def linked_campaign_mail(self) -> DataFrame:
         """(employee_id, received_at, message_id, campaign_id) of campaign mails that carry a link."""

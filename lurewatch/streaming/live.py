@@ -6,12 +6,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.operators import campaigns
 from lurewatch.operators.components import connected_components
 from lurewatch.session import cut_lineage, shared_folder
+from lurewatch.sources.keyed import KeyedTable
 
 WATERMARK = "24 hours"  # the campaign window; later events are not matched
 
@@ -46,6 +47,52 @@ def per_batch(stream: DataFrame, name: str, step: Callable[[DataFrame], DataFram
     return spark.read.parquet(table)
 
 
+def arrivals(table: DataFrame, part: Column, order: list[int], name: str, step: Callable[[DataFrame, int], None]) -> None:
+    """The rows arrive as files, a part at a time in that order; after each arrival the stream is started again where it ended and
+    hands what is new to ``step`` with the number of the batch. A step that is repeated must change nothing."""
+    spark = table.sparkSession
+    folder = new_folder(spark, name)
+    table.where(F.lit(False)).write.parquet(folder)  # a stream starts on a folder that is there
+    stream = spark.readStream.schema(table.schema).parquet(folder)
+    for value in order:
+        table.where(part == value).write.mode("append").parquet(folder)
+        job = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}-progress").trigger(availableNow=True).start()
+        job.awaitTermination()
+
+
+def incident_parts(exposures: DataFrame) -> DataFrame:
+    """Per incident and employee what adds up over batches."""
+    return merged_parts(exposures.select(
+        "incident_id", "employee_id", "severity", F.lit(1).cast("long").alias("evidence"), F.col("ts").alias("created_at"), F.col("ts").alias("last_at")))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("incident_id", "employee_id").agg(
+        F.max("severity").alias("severity"), F.sum("evidence").alias("evidence"), F.min("created_at").alias("created_at"), F.max("last_at").alias("last_at"))
+
+
+PARTS = "incident_id string, employee_id long, severity int, evidence long, created_at timestamp, last_at timestamp"
+
+
+def incident_state(spark: SparkSession, name: str) -> KeyedTable:
+    """State of incidents, a row for each employee in one, so that no incident is a hot key."""
+    return KeyedTable(spark, new_folder(spark, name), PARTS, ["incident_id", "employee_id"], merged_parts)
+
+
+def incident_view(state: KeyedTable) -> DataFrame:
+    return state.read().groupBy("incident_id").agg(
+        F.max("severity").alias("severity"), F.count("*").alias("affected"), F.sum("evidence").alias("evidence"),
+        F.min("created_at").alias("created_at"), F.max("last_at").alias("last_at"))
+
+
+def changed_incidents(batch: DataFrame, before: DataFrame) -> DataFrame:
+    """(event, incident_id) of the incidents that a batch touches, against their state before it."""
+    now = batch.groupBy("incident_id").agg(F.max("severity").alias("severity"))
+    old = before.groupBy("incident_id").agg(F.max("severity").alias("was"))
+    event = F.when(F.col("was").isNull(), "incident.created").when(F.col("severity") > F.col("was"), "incident.escalated").otherwise("incident.updated")
+    return now.join(old, "incident_id", "left").select(event.alias("event"), "incident_id")
+
+
 def grow_campaigns(labels: DataFrame | None, known: DataFrame | None, arrived: DataFrame) -> DataFrame:
     """(message_id, campaign) after new mail arrived.
 
