@@ -15,7 +15,7 @@ from lurewatch.plans import sql
 from lurewatch.plans.registry import oracle_view, query
 from lurewatch.plans.response import typed_incidents
 from lurewatch.session import cut_lineage, shared_folder
-from lurewatch.sources import mailfiles
+from lurewatch.sources import mailfiles, records
 from lurewatch.sources.keyed import KeyedTable, newest
 from lurewatch.sources.tables import Tables
 
@@ -37,8 +37,21 @@ query("set_dedup_texts", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"))
 query("agg_source_label_counts", "SELECT source, count(*) FILTER (label = 0) AS legit, count(*) FILTER (label = 1) AS phishing FROM v_labelled GROUP BY source")(
     lambda t: t.labelled.groupBy("source").pivot("label", [0, 1]).count().na.fill(0).withColumnsRenamed({"0": "legit", "1": "phishing"}))
-query("src_labelled_corpora", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM v_labelled GROUP BY source")(
-    lambda t: t.labelled.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
+@query("src_labelled_corpora", """
+SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, count(*) FILTER (label = 1) AS phishing, count(*) FILTER (doc_id % 40 = 7) AS rejected FROM (
+  SELECT source, doc_id, CASE WHEN doc_id % 40 <> 7 THEN text END AS text, CASE WHEN doc_id % 40 <> 7 THEN label END AS label FROM v_labelled) GROUP BY source""")
+def src_labelled_corpora(t: Tables) -> DataFrame:
+    """A folder of CSV files for each corpus; the source is the folder's name, and rows whose label is no number are rejects."""
+    folder = f"{shared_folder(t.spark)}/corpora-{uuid.uuid4().hex}"
+    label = F.when(F.col("doc_id") % 40 == 7, "none").otherwise(F.col("label").cast("string"))
+    t.labelled.select("doc_id", "text", label.alias("label"), F.col("source").alias("corpus")).write.partitionBy("corpus").option("header", "true").option(
+        "escape", '"').option("quoteAll", "true").csv(folder)
+    rows = records.read_corpora(t.spark, folder, "doc_id long, text string, label int")
+    whole = F.col(records.CORRUPT).isNull()
+    return rows.groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.when(whole, F.length("text"))).alias("chars"), F.count_if(whole & (F.col("label") == 1)).alias("phishing"), F.count_if(~whole).alias("rejected"))
+
+
 query("ml_split_random", "SELECT doc_id, ('0x' || md5(CAST(doc_id AS VARCHAR))[:4])::INT % 5 = 0 AS test FROM labels")(
     lambda t: t.labelled.select("doc_id", ((F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % 5) == 0).alias("test")))
 
@@ -215,8 +228,19 @@ _GROUND = f"len(list_filter({_tok('answer')}, lambda x: NOT list_contains(list_c
 for _name in ("grounding_check", "set_fact_subset"):
     query(_name, f"SELECT conv_id, turn, {_GROUND} AS accepted FROM v_turn")(
         lambda t: turns(t).select("conv_id", "turn", grounded(F.col("answer"), F.col("asked")).alias("accepted")))
-query("src_llm_responses", "SELECT sha256(asked)[:24] AS fingerprint, arg_max(md5(answer), (conv_id, turn)) AS answer FROM v_turn GROUP BY 1")(
-    lambda t: turns(t).groupBy(txt.fingerprint(F.col("asked")).alias("fingerprint")).agg(F.max_by(F.md5("answer"), F.struct("conv_id", "turn")).alias("answer")))
+@query("src_llm_responses", """
+SELECT sha256(asked)[:24] AS fingerprint, arg_max(md5(answer), (conv_id % 2, conv_id, turn)) AS answer FROM v_turn WHERE (conv_id + turn) % 7 <> 0 GROUP BY 1""")
+def src_llm_responses(t: Tables) -> DataFrame:
+    """Two sets of JSON-lines files, every seventh line cut short; the last whole answer by file and row wins."""
+    folder = f"{shared_folder(t.spark)}/answers-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(txt.fingerprint(F.col("asked")).alias("fingerprint"), "answer"))
+    cut_short = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.substring(line, 1, 40)).otherwise(line)
+    for part in range(2):
+        turns(t).where(F.col("conv_id") % 2 == part).orderBy("conv_id", "turn").select(cut_short.alias("value")).write.text(f"{folder}/part-{part}")
+    answers = records.read_json_lines(t.spark, folder, "fingerprint string, answer string")
+    return records.last_by(answers, "fingerprint", "answer").withColumn("answer", F.md5("answer"))
+
+
 oracle_view("v_cache", "SELECT sha256(asked)[:24] AS fingerprint, arg_max(answer, (conv_id, turn)) AS answer, arg_max(asked, (conv_id, turn)) AS asked FROM v_turn GROUP BY 1")
 _asked = lambda t: t.read("conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked"), txt.fingerprint(F.col("text")).alias("fingerprint"))
 _cache = lambda t: turns(t).groupBy(txt.fingerprint(F.col("asked")).alias("fingerprint")).agg(F.max_by("answer", F.struct("conv_id", "turn")).alias("answer"))

@@ -225,10 +225,20 @@ query("checklist_state", "SELECT incident_id, key, approved, done, rejected FROM
 query("win_latest_state", "SELECT incident_id, key, arg_max(verb, (acted, log_id)) AS verb FROM v_log WHERE verb <> 'approve' GROUP BY ALL")(
     lambda t: toggles(t).where("verb <> 'approve'").groupBy("incident_id", "key").agg(F.max_by("verb", F.struct("at", "log_id")).alias("verb")))
 query("agg_checklist_progress", """
-SELECT incident_id, coalesce(area, 'all') AS area, count(*) FILTER (done) AS done, count(*) AS total, CAST(round_even(100.0 * count(*) FILTER (done) / count(*), 0) AS INTEGER) AS percent
-FROM v_itemstate GROUP BY GROUPING SETS ((incident_id, area), (incident_id))""")(
-    lambda t: item_state(t).select("incident_id", "done", F.explode(F.array("area", F.lit("all"))).alias("area")).groupBy("incident_id", "area").agg(
-        F.count_if("done").alias("done"), F.count("*").alias("total")).withColumn("percent", txt.percent(F.col("done"), F.col("total"))))
+SELECT incident_id, coalesce(area, 'all') AS area, count(*) FILTER (done) AS done, count(*) AS total, CAST(round_even(100.0 * count(*) FILTER (done) / count(*), 0) AS INTEGER) AS percent,
+  coalesce(string_agg(key, ',' ORDER BY position, key) FILTER (NOT done), '') AS remaining
+FROM v_itemstate GROUP BY GROUPING SETS ((incident_id, area), (incident_id))""")(lambda t: _progress(t))
+
+
+def _progress(t: Tables) -> DataFrame:
+    """Areas and the whole of each incident from one aggregation; an incident has a template's items at most."""
+    items, sets = item_state(t), [["incident_id", "area"], ["incident_id"]]
+    open_items = F.array_sort(F.collect_list(F.when(~F.col("done"), F.struct("position", "key"))))
+    sums = items.groupingSets(sets, "incident_id", "area").agg(
+        F.count_if("done").alias("done"), F.count("*").alias("total"), F.array_join(F.transform(open_items, lambda x: x["key"]), ",").alias("remaining"))
+    return sums.select("incident_id", F.coalesce("area", F.lit("all")).alias("area"), "done", "total", txt.percent(F.col("done"), F.col("total")).alias("percent"), "remaining")
+
+
 query("agg_dashboard", """
 SELECT (SELECT count(*) FROM v_incident) AS open_incidents, (SELECT count(*) FROM v_incident WHERE severity = 2) AS high, (SELECT count(*) FROM v_incident WHERE severity = 3) AS critical,
   (SELECT count(DISTINCT campaign_id) FROM v_campaign) AS campaigns, (SELECT count(DISTINCT employee_id) FROM v_exposure) AS affected,
