@@ -9,7 +9,7 @@ from lurewatch.session import local_session
 
 HEADLINE = [
     "sig_header_auth", "sig_content_urgency", "sig_lookalike_link", "sig_att_double_ext", "agg_assessment", "risk_levels",
-    "campaign_clusters", "agg_trait_links", "incident_route", "win_escalation_change", "agg_incident", "containment_plan",
+    "campaign_clusters", "agg_trait_links", "win_escalation_change", "agg_incident", "containment_plan",
     "blast_nodes", "track_rewrite_text", "fn_shingles", "html_visible_text", "parse_body", "ml_prepare", "agg_roc_auc",
 ]
 

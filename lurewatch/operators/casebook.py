@@ -4,7 +4,8 @@ Evidence that points to a campaign joins the campaign's open incident; other evi
 of its employee; where there is none it opens one. A containment closes the open incidents of its campaigns and those that hold evidence of its employee; later evidence opens
 new ones. Each decision rests on earlier ones, so this is a fold over time; here it is a fixed point of joins: all evidence is routed
 at once against the incidents of the round before, until a round changes nothing. Whatever is right up to some moment stays right and
-settles what comes next, so the fixed point is the fold, and rounds follow the depth of such corrections, not the number of rows.
+settles what comes next, so the fixed point is the fold. Rounds follow the containments that bear on one another (trials: 5 for 120 of
+them among 6,761 rows, 4 to 11 for 8 among 1,000), not the number of rows.
 Openings, closings and candidates are minimums and maximums of structs; no incident's or employee's history is sorted in one task.
 """
 
