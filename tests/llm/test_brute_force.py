@@ -76,6 +76,35 @@ def test_mail_merge(spark):
     assert {r["component_id"] for r in got if r["doc_id"] < 600} == {0} and {r["component_id"] for r in got if r["doc_id"] >= 600} == {600}
 
 
+def test_null_and_repeated_ids(spark):
+    """A text without an id, and one whose id another text has, still meet their near copies."""
+    base = [f"w{k}" for k in range(200)]
+    near = lambda k: " ".join(base[:k] + ["changed"] + base[k + 1 :])
+    other = " ".join(f"v{k}" for k in range(120))
+    rows = [(None, near(20)), (None, near(20)), (5, near(70)), (5, other), (9, other + " end"), (9, near(130)), (12, "words of its own")]
+    got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got.collect())
+    assert found == sorted([("None", 199, 5), ("None", 199, 5), ("5", 199, 5), ("5", 119, 5), ("9", 120, 5), ("9", 199, 5), ("12", 3, 12)])
+
+
+def test_areas_of_buckets(spark, monkeypatch):
+    """Chunks over merged buckets and over single ones link the same."""
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 10_000, 150)
+    rows = []
+    for i in range(160):
+        own = base.copy()
+        own[draw.choice(150, 6 + i % 9, replace=False)] = draw.integers(10_000, 99_999, 6 + i % 9)
+        rows.append((i, " ".join(map(str, own))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = similar({i: {"text": t} for i, t in rows}, 2)[1]
+    monkeypatch.setattr(sketches, "CHUNK", 16)
+    plain = lambda: {r["doc_id"]: r["component_id"] for r in sketches.near_duplicates(docs, words=2).collect()}
+    assert plain() == wanted
+    monkeypatch.setattr(sketches, "_areas", lambda left: left)
+    assert plain() == wanted
+
+
 def test_registers():
     draw = np.random.default_rng(3)
     whole = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
@@ -143,7 +172,7 @@ def test_model_learns_from_all_documents(spark, monkeypatch):
 
 def test_windows_hold_all_tokens():
     docs = [np.full(n, i, np.int32) for i, n in enumerate([1, 5, 40, 3, 700] * 9)]
-    seen = collections.Counter(x for _, targets, _, _ in gru.windows(docs, 0) for x in targets.ravel().tolist())
+    seen = collections.Counter(x for _, targets, _, _ in gru.windows(docs, 0) for x in targets.ravel().tolist() if x >= 0)
     assert seen == {i: len(d) for i, d in enumerate(docs)}
 
 
@@ -169,6 +198,29 @@ def test_gradients():
     assert (-gru.log_probabilities(model, moved, targets).mean() - loss) / 1e-2 == pytest.approx(back[2, 1], abs=2e-3)
 
 
+def test_recurrent_gradients():
+    """Each trained array's gradient against a difference quotient, over lanes that start afresh and end within the window."""
+    model = gru.start(np.array([9.0, 8, 7, 6, 5]), hidden=3, classes=2)
+    draw = np.random.default_rng(4)
+    for name in gru._TRAINED:
+        getattr(model, name)[...] += draw.normal(0, 0.5, getattr(model, name).shape)
+    reads, targets, fresh = draw.integers(0, 5, (6, 4)), draw.integers(0, 5, (6, 4)), draw.random((6, 4)) < 0.2
+    targets[4:, 1] = -1
+    state, grads = draw.normal(size=(4, 3)).astype(np.float32), {n: np.zeros_like(getattr(model, n)) for n in gru._TRAINED}
+    gru.window_gradients(model, reads, targets, fresh, state, grads)
+    loss = lambda: gru.window_gradients(model, reads, targets, fresh, state, {n: np.zeros_like(v) for n, v in grads.items()})[1]
+    for name in gru._TRAINED:
+        own, step = getattr(model, name), 5e-3
+        for at in list(np.ndindex(own.shape))[:: max(1, own.size // 12)]:
+            kept = own[at]
+            own[at] = kept + step
+            above = loss()
+            own[at] = kept - step
+            below = loss()
+            own[at] = kept
+            assert (above - below) / (2 * step) == pytest.approx(grads[name][at], abs=1e-3), (name, at)
+
+
 def test_state_goes_on_over_windows(monkeypatch):
     model = gru.start(np.array([9.0, 8, 7, 6, 5]), hidden=4, classes=2)
     draw = np.random.default_rng(2)
