@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.llm import language, mixing, pieces, secrets, sketches
-from lurewatch.llm.common import stored, table
+from lurewatch.llm.common import bounded, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; those without a letter are rejected. A short text between two languages stays."""
     names = docs.columns
+    bounded(spark)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").alias("__text"))
     model = language.fit(docs.select("doc_id", "text", "lang"))
     found = language.predict(own, model, text="__text")
@@ -28,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, five-word shingles at 0.8: the one with the smallest id. Equal rows are
     one document; rows of one id with different texts are not."""
+    bounded(spark)
     own = docs.withColumn("__id", F.struct("doc_id", F.xxhash64("text").alias("text")))
     kept = sketches.near_duplicates(own, key="__id").where("kept").select("__id")
     return own.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -35,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
+    bounded(spark)
     return secrets.redact(docs)
 
 
@@ -46,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, and its place in the mixture: whoever reads the result by ``mix_order`` meets the sources
     by their weights, in whatever order files are read."""
+    bounded(spark)
     return pieces.encode(mixing.with_order(docs.select("doc_id", "text")), carry=("mix_order",))
 
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -230,12 +231,12 @@ def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) ->
     return ids.astype(np.int32), np.bincount(row, minlength=len(texts)).astype(np.int64)
 
 
-def _cut(texts: list[str | None]) -> Iterator[slice]:
+def _cut(lengths: list[int | None]) -> Iterator[slice]:
     """Runs of rows of about TOGETHER characters."""
     start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= TOGETHER or i + 1 == len(texts):
+    for i, length in enumerate(lengths):
+        size += length or 0
+        if size >= TOGETHER or i + 1 == len(lengths):
             yield slice(start, i + 1)
             start, size = i + 1, 0
 
@@ -249,19 +250,17 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held.value
         spelled = words.spelled
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            names, found = keys.to_pylist(), []
-            for part in _cut(texts):
-                found.append(sample(words, names[part], [x or "" for x in texts[part]], seed))
-            ids, counts = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in ((0, np.int32), (1, np.int64)))
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            flat = ids.tolist()
-            same = [x is None or decode(flat[a:b], spelled) == x for x, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())]
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([x is None for x in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(counts), lists, pa.array(same, pa.bool_()), *batch.columns[2:]], names=[key, "n_pieces", "pieces", "lossless", *carry])
+        for whole in batches:
+            for rows in _cut(pc.utf8_length(whole.column(1)).to_pylist()):
+                batch = whole.slice(rows.start, rows.stop - rows.start)
+                keys, texts = batch.column(0), batch.column(1).to_pylist()
+                ids, counts = sample(words, keys.to_pylist(), [x or "" for x in texts], seed)
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                same = [x is None or decode(ids[a:b].tolist(), spelled) == x for x, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array([x is None for x in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(counts), lists, pa.array(same, pa.bool_()), *batch.columns[2:]], names=[key, "n_pieces", "pieces", "lossless", *carry])
             give_back()
 
     others = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
