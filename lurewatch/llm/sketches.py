@@ -31,11 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lurewatch.llm.common import give_back, stored
+from lurewatch.llm.common import give_back, removed, stored
 from lurewatch.operators.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -121,7 +121,7 @@ def last_bits(own: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch], words: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, node, check, signs, bands, bits = [], [], [], [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(3).to_pylist():
             own = shingle_set(text, words)
             sizes.append(len(own))
             if not len(own):
@@ -136,18 +136,24 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, names: list[str]) -
             bands.append(band_keys(found))
             bits.append(last_bits(found))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()),
+            [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()),
              pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
     _hashes.clear()
     give_back()
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id, n, node and check (128 bits that stand for the set), registers and band keys; all null but n without words."""
-    names = ["id", "n", "node", "check", "registers", "bands", "bits"]
+    """id, high and low (128 bits that stand for the text), n, node and check (128 bits that stand for the set), registers and band keys;
+    the latter null without words."""
+    names = ["id", "high", "low", "n", "node", "check", "registers", "bands", "bits"]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        lambda batches: _sketched(batches, words, names), f"id {kind}, n long, node long, check long, registers binary, bands array<long>, bits array<long>")
+    return docs.select(key, *_text_hashes(text), text).mapInArrow(
+        lambda batches: _sketched(batches, words, names),
+        f"id {kind}, high long, low long, n long, node long, check long, registers binary, bands array<long>, bits array<long>")
+
+
+def _text_hashes(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(k), F.coalesce(F.col(text), F.lit(""))).alias(name) for k, name in enumerate(("high", "low"))]
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
@@ -291,14 +297,30 @@ def _cell(rows: pd.DataFrame, small: int) -> pd.DataFrame:
     return found.drop_duplicates(["c", "d"])[["a", "b"]].astype("int64")
 
 
+def _areas(left: DataFrame) -> DataFrame:
+    """left(bucket, node, component, main) -> the same with ``bucket`` replaced where that saves rows: buckets whose largest component is the
+    same hold much the same classes, one for each band, so together they are one area in which each class stands once. Which of the two
+    is less work is reckoned for each component; both compare every pair of a bucket."""
+    chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK))
+    rows = F.col("mains") * chunks("others") + F.col("others") * (chunks("mains") + chunks("others"))
+    other = (F.col("component") != F.col("main")).cast("long")
+    counts = [F.sum(1 - other).alias("mains"), F.sum(other).alias("others")]
+    apart = left.groupBy("main", "bucket").agg(*counts).groupBy("main").agg(F.sum(rows).alias("apart"))
+    whole = left.select("main", "node", "component").distinct().groupBy("main").agg(*counts).select("main", rows.alias("whole"))
+    merged = apart.join(whole, "main").where("whole <= apart").select("main", F.xxhash64(F.lit("main"), "main").alias("area"))
+    return left.join(merged, "main", "left").select(F.coalesce("area", "bucket").alias("bucket"), "node", "component", "main").distinct()
+
+
 def _in_chunks(left: DataFrame, sets: DataFrame, small: int) -> DataFrame:
     """Links(a, b) between the components of large buckets. A bucket's largest component is cut into chunks, its other
     classes too; each chunk of others meets all chunks, but the largest component never meets itself. A cell of two chunks
     is a task's work of bounded size, so neither a bucket nor its pairs are ever gathered."""
-    mains, others = (F.ceil(c / F.lit(CHUNK)).cast("int") for c in (F.col("mains"), F.col("k") - F.col("mains")))
+    dealt = stored(_areas(left), "areas")
+    inside = F.col("component") == F.col("main")
+    sizes = dealt.groupBy("bucket").agg(F.ceil(F.count_if(inside) / F.lit(CHUNK)).cast("int").alias("mains"),
+                                        F.ceil(F.count_if(~inside) / F.lit(CHUNK)).cast("int").alias("others"))
     draw = F.xxhash64("bucket", "node")
-    own = left.select("bucket", "node", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(1).alias("role"),
-                      mains.alias("mains"), others.alias("others"))
+    own = dealt.join(sizes, "bucket").select("bucket", "node", "component", F.when(inside, 0).otherwise(1).alias("role"), "mains", "others")
     own = own.withColumn("chunk", F.pmod(draw, F.when(F.col("role") == 0, F.col("mains")).otherwise(F.col("others"))).cast("int"))
     to = lambda count: F.sequence(F.lit(0), count - 1)
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -306,12 +328,12 @@ def _in_chunks(left: DataFrame, sets: DataFrame, small: int) -> DataFrame:
     cells = F.when(F.col("role") == 0, F.transform(to(F.col("others")), lambda j: cell("main", chunk, j, zero))).otherwise(F.concat(
         F.transform(to(F.col("mains")), lambda i: cell("main", i, chunk, one)),
         F.transform(to(F.col("others")), lambda u: cell("others", F.least(chunk, u), F.greatest(chunk, u), F.when(chunk <= u, zero).otherwise(one)))))
-    placed = own.select("bucket", "node", "component", F.explode(cells).alias("at")).select("bucket", "node", "component", "at.*")
+    placed = own.where("others > 0").select("bucket", "node", "component", F.explode(cells).alias("at")).select("bucket", "node", "component", "at.*")
     return placed.join(sets, "node").groupBy("bucket", "kind", "i", "j").applyInPandas(lambda rows: _cell(rows, small), "a long, b long").distinct()
 
 
 def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """classes(node, id, n, registers, bits, bands) -> links(a, b) that connect all that all similar pairs of classes would."""
+    """classes(node, id, row, n, registers, bits, bands) -> links(a, b) that connect all that all similar pairs of classes would."""
     small = round(100 * similarity)
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
@@ -321,13 +343,17 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, words:
     twice = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode(F.transform(
         "bands", lambda band, i: F.xxhash64(band, F.get("bands", (i + 1) % BANDS)))).alias("bucket"))
     tried = stored(_leaders(twice), "tried")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    wanted = members.select("node").distinct().join(classes.select("node", "id", "n"), "node")
-    sets = stored(texts.join(wanted, "id").select("node", "n", "text").mapInPandas(
-        lambda batches: _set_rows(batches, words), "node long, n long, members binary"), "sets")
+    # The one row of a class with the smallest key, or rows that are equal to it, whatever the key: null or in use twice.
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *_text_hashes(text))
+    wanted = members.select("node").distinct().join(classes.select("node", "n", "row.high", "row.low", F.col("row.id").alias("its")), "node")
+    sets = texts.join(wanted, ["high", "low"]).where(F.col("id").eqNullSafe(F.col("its"))).select("node", "n", "text").mapInPandas(
+        lambda batches: _set_rows(batches, words), "node long, n long, members binary")
+    sets = stored(sets.dropDuplicates(["node"]), "sets")
     links = stored(_confirmed(tried.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, similarity), "links")
 
+    removed(tried)
     split = stored(_split(members, links), "split")
+    removed(members)
     signs = classes.select("node", "n", *[f"bits{k}" for k in range(BIT_WORDS)])
     # What only one of the classes that are left has, none of them shares: that bounds every pair's overlap.
     alone = sets.join(split.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "node long, shingle long").groupBy(
@@ -336,24 +362,30 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, words:
         "common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(f"100 * common >= {small} * n")
     signs = stored(signs, "signs")
     for number in range(ROUNDS):
-        found = _confirmed(stored(_closest(split, signs, number, small), "tried"), sets, similarity)
-        links = stored(links.union(found), "links")
-        split = stored(_split(split.select("bucket", "node"), links), "split")
+        tried = stored(_closest(split, signs, number, small), "tried")
+        more = stored(links.union(_confirmed(tried, sets, similarity)), "links")
+        again = stored(_split(split.select("bucket", "node"), more), "split")
+        removed(tried, links, split)
+        links, split = more, again
     parts = split.groupBy("bucket", "component").agg(F.count("*").alias("own"))
-    sizes = parts.groupBy("bucket").agg(F.sum("own").alias("k"), F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("mains"))
+    sizes = parts.groupBy("bucket").agg(F.sum("own").alias("k"), F.max_by("component", F.struct("own", "component")).alias("main"))
     left = stored(split.join(sizes, "bucket").join(signs, "node"), "left")
-    found = _in_chunks(left.where(f"k > {PAIRED}"), sets, small)
-    left = left.where(f"k <= {PAIRED}").drop("k", "main", "mains")
+    removed(split)
+    whole = left
+    found = _in_chunks(left.where(f"k > {PAIRED}").select("bucket", "node", "component", "main"), sets, small)
+    left = left.where(f"k <= {PAIRED}").drop("k", "main")
     side = lambda s: left.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in left.columns if c != "bucket"])
     pairs = side("a").join(side("b"), "bucket").where(f"node_a < node_b AND component_a <> component_b AND {_may_link(small)}").select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
-    signs = classes.select("node", "registers")
+    kept, signs = signs, classes.select("node", "registers")
     low = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / ESTIMATE_REGISTERS)
     pairs = stored(
         pairs.join(signs.select(F.col("node").alias("a"), F.col("registers").alias("registers_a")), "a")
         .join(signs.select(F.col("node").alias("b"), F.col("registers").alias("registers_b")), "b")
         .where(_estimate("registers_a", "registers_b", "n_a", "n_b") >= low).select("a", "b"), "pairs")
-    return stored(links.union(found).union(_confirmed(pairs, sets, similarity)), "links")
+    every = stored(links.union(found).union(_confirmed(pairs, sets, similarity)), "links")
+    removed(links, kept, whole, pairs, sets)
+    return every
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -365,15 +397,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     drawn = stored(sketches(docs, key, text, words), "sketches")
     classes = stored(
         drawn.where("node IS NOT NULL").groupBy("node", "check").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
+            F.min("id").alias("id"), F.min(F.struct("id", "high", "low")).alias("row"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"),
             *[F.get(F.first("bits"), F.lit(k)).alias(f"bits{k}") for k in range(BIT_WORDS)]).drop("check"),
         "classes")
+    rows = stored(drawn.select("id", "n", "node"), "rows")
+    removed(drawn)  # registers and bands are in the classes
     found = connected_components(class_links(docs, classes, key, text, words, similarity))
     named = classes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")
+    removed(classes)
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     of_class = named.join(smallest, "component").select("node", "component_id")
-    rows = drawn.select("id", "n", "node").join(of_class, "node", "left")
+    rows = rows.join(of_class, "node", "left")
     own = F.coalesce(F.col("component_id"), F.col("id"))
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
