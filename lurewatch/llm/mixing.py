@@ -84,24 +84,21 @@ def scheduled(docs: DataFrame, key: str = "doc_id", source: str = "source", weig
     filled = min((position(s, n // block) for s, n in sizes.items()), default=0)
 
     ranges = spark.createDataFrame(
-        [(s, quota[s], -(-sizes[s] // RANGE_ROWS)) for s in names],
-        T.StructType([T.StructField("__source", kind), T.StructField("__quota", T.LongType()), T.StructField("__ranges", T.LongType())]))
-    places = spark.createDataFrame(
-        [(s, k, at) for s in names for k, at in enumerate(slots[s])],
-        T.StructType([T.StructField("__source", kind), T.StructField("__turn", T.LongType()), T.StructField("__at", T.LongType())]))
+        [(s, i, quota[s], -(-sizes[s] // RANGE_ROWS)) for i, s in enumerate(names)],
+        T.StructType([T.StructField("__source", kind), T.StructField("__s", T.LongType()), T.StructField("__quota", T.LongType()), T.StructField("__ranges", T.LongType())]))
+    places = spark.createDataFrame([(i, k, at) for i, s in enumerate(names) for k, at in enumerate(slots[s])], "__s long, __turn long, __at long")
 
     own = docs.withColumn("__hash", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(_FINE)))
     own = own.join(F.broadcast(ranges), F.col(source).eqNullSafe(F.col("__source"))).withColumn(
         "__range", F.expr(f"__hash * __ranges div {_FINE}"))
-    counts = own.groupBy("__source", "__range").agg(F.count("*").alias("__n"))
+    # Rows are dealt by source and range once: sources go by number, so that the ranges' starts meet them where they are.
+    counts = own.groupBy("__s", "__range").agg(F.count("*").alias("__n"))
     before = counts.withColumn(
-        "__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__n")).select(
-        F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__before")
-    ranked = own.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__range").orderBy("__hash", key)))
-    ranked = ranked.join(before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r"))).withColumn(
-        "__place", F.col("__before") + F.col("__rank") - 1).drop("__s", "__source", "__r")
-    ranked = ranked.withColumn("__block", F.expr(f"__place div {block}")).withColumn("__my_turn", F.expr("__block % __quota"))
-    placed = ranked.join(F.broadcast(places), F.col(source).eqNullSafe(F.col("__source")) & (F.col("__my_turn") == F.col("__turn")))
+        "__before", F.sum("__n").over(Window.partitionBy("__s").orderBy("__range")) - F.col("__n")).select("__s", "__range", "__before").repartition("__s", "__range")
+    ranked = own.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__range").orderBy("__hash", key)))
+    ranked = ranked.join(before, ["__s", "__range"]).withColumn("__place", F.col("__before") + F.col("__rank") - 1)
+    ranked = ranked.withColumn("__block", F.expr(f"__place div {block}")).withColumn("__turn", F.expr("__block % __quota"))
+    placed = ranked.join(F.broadcast(places), ["__s", "__turn"])
     slot = F.expr(f"__block div __quota * {cycle} + __at")
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns], F.col("__block").alias("block"), slot.alias("slot"),
