@@ -33,11 +33,13 @@ SPAN = "struct<kind:string, start:int, end:int, secret_start:int, log_guesses:do
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_BETWEEN = r"[\x20\t\r\n]*"
 _CONTEXT = re.compile(
-    r"""(?:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|client[_-]?secret|credentials?|pin)["']?"""
-    r"""\x20*(?::=|=>|[:=]|\x20is\x20)\x20*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>,;]{6,}))"""
+    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|client[_-]?secret|credentials?|(?<![a-z])pin)["']?"""
+    rf"""(?:{_BETWEEN}(?::=|=>|[:=]){_BETWEEN}|[\x20\t]+is[\x20\t]+)"""
+    r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>]{5,}[^\s"'<>.,;:!?)\]}]))"""
     r"""|(?<![a-z])bearer\x20+([A-Za-z0-9+/_.=~-]{6,})"""
-    r"""|://[^\s/:@]{1,64}:([^\s/@]{6,})@)""", re.I | re.A)
+    r"""|://[^\s/:@]*:([^\s/@]{6,})@)""", re.I | re.A)
 _DATES = re.compile(r"(?=((?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d))")
 _YEARS = re.compile(r"(?=((?:19|20)\d\d))")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")

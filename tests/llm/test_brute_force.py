@@ -105,6 +105,23 @@ def test_areas_of_buckets(spark, monkeypatch):
     assert plain() == wanted
 
 
+@pytest.mark.parametrize("before, after", [
+    ("https://" + "u" * 70 + ":", "@host.example/x"), ("redis://:", "@cache:6379"), ("password:\t", " end"), ("password:\n", "\nend"), ("pwd: ", "."),
+    ("mypassword: ", ", and"), ("db_secret = ", ""), ("Your password is ", "!"), ("token => ", ""), ("PASSWD := '", "'"), ('"client_secret": "', '"')])
+def test_contexts_of_secrets(before, after):
+    """A planted value is found whole in each form, and nothing of it stays in the cleaned text."""
+    ranks, value = secrets.word_ranks(), "Xk9,fQ2;m7TzPq#w"
+    text = f"Some words. {before}{value}{after}"
+    spans = secrets.find(text, ranks)
+    assert any(text[s.secret_start : s.end] == value for s in spans) and secrets.hidden(text, spans) == f"Some words. {before}[SECRET]{after}"
+
+
+def test_contexts_leave_prose_alone():
+    ranks = secrets.word_ranks()
+    for text in ("Enter your password:\n\nThanks and regards", "shopping: everything we need today", "The secret: nothing special", "see https://a.example:8080/path@b"):
+        assert [s for s in secrets.find(text, ranks) if s.kind == "guess"] == []
+
+
 def test_registers():
     draw = np.random.default_rng(3)
     whole = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
