@@ -55,7 +55,7 @@ def st_password_signin(t: Tables) -> DataFrame:
 
 #: Parts of the evidence, by id, in the order in which they arrive: in no order of time.
 ARRIVAL = [3, 0, 4, 1, 2]
-_PART = F.col("evidence_id") % 5
+_part = lambda: F.col("evidence_id") % 5
 
 
 @query("st_incident_state", f"SELECT incident_id, severity, affected, evidence, {sql.ts('created_at')} AS created_at, {sql.ts('last_at')} AS last_at FROM v_incident")
@@ -68,7 +68,7 @@ def st_incident_state(t: Tables) -> DataFrame:
         routed = inc.route(batch, t.scored.select("message_id", "risk"), t.campaign_of, t.linked_campaign_mail)
         state.apply(live.incident_parts(routed), number)
 
-    live.arrivals(t.evidence, _PART, ARRIVAL, "evidence", step)
+    live.arrivals(t.evidence, _part(), ARRIVAL, "evidence", step)
     return live.incident_view(state).withColumn("created_at", stamp("created_at")).withColumn("last_at", stamp("last_at"))
 
 
@@ -77,7 +77,7 @@ def st_upsert_view(t: Tables) -> DataFrame:
     """The latest evidence of each incident, inserted or updated by key as it arrives."""
     key = ["incident_id"]
     latest = KeyedTable(t.spark, live.new_folder(t.spark, "latest"), "incident_id string, ts timestamp, evidence_id long", key, newest(key, ["ts", "evidence_id"]))
-    live.arrivals(t.exposures.select("incident_id", "ts", "evidence_id"), _PART, ARRIVAL, "exposures", latest.apply)
+    live.arrivals(t.exposures.select("incident_id", "ts", "evidence_id"), _part(), ARRIVAL, "exposures", latest.apply)
     return latest.read().select("incident_id", F.col("evidence_id").alias("latest"))
 
 
@@ -102,7 +102,7 @@ def st_change_feed(t: Tables) -> DataFrame:
         live.changed_incidents(batch, state.before(number)).write.mode("overwrite").parquet(f"{feed}/batch={number}")
         state.apply(live.incident_parts(batch), number)
 
-    live.arrivals(t.exposures, _PART, ARRIVAL, "exposures", step)
+    live.arrivals(t.exposures, _part(), ARRIVAL, "exposures", step)
     return t.spark.read.parquet(feed).select("event", "incident_id", F.col("batch").cast("long").alias("batch"))
 
 

@@ -8,7 +8,9 @@ from tests.compare import difference, duck
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["sig_header_auth", "sig_lookalike_link", "sig_content_urgency", "agg_assessment", "campaign_clusters", "incident_route",
          "win_escalation_change", "checklist_state", "containment_plan", "blast_edges", "track_rewrite_text", "agg_roc_auc",
-         "parse_sender", "st_event_dedupe", "st_password_signin", "st_campaign_incremental"]
+         "parse_sender", "st_event_dedupe", "st_password_signin", "st_campaign_incremental", "src_eml_files", "udtf_parse_eml",
+         "parse_headers", "link_dedupe", "src_llm_responses", "src_labelled_corpora", "sink_message_upsert", "st_change_feed", "sink_change_feed",
+         "join_link_incidents", "agg_checklist_progress"]
 
 
 @pytest.fixture(scope="module")
