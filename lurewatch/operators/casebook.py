@@ -18,6 +18,10 @@ from lurewatch.operators.components import followed
 from lurewatch.session import cut_lineage
 
 
+#: Doublings by which a round's pointers are followed; it starts the next round nearer to the end and decides nothing.
+JUMPS = 4
+
+
 def containments(steps: DataFrame, campaign_of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Approved steps -> (campaign_id, at) and (employee_id, at) of what they close."""
     campaigns = steps.where("step = 'quarantine_messages'").join(campaign_of, "message_id").select("campaign_id", "at").distinct()
@@ -67,7 +71,7 @@ def route(exposures: DataFrame, campaigns: DataFrame, people: DataFrame) -> Data
         found = cut_lineage(_round(routed, campaigns, people))
         if found.where("before <> root").isEmpty():
             return routed
-        ends = followed(cut_lineage(found.select(F.col("evidence_id").alias("component"), "root")))
+        ends = followed(cut_lineage(found.select(F.col("evidence_id").alias("component"), "root")), JUMPS)
         routed = cut_lineage(found.drop("before", "root").join(ends.withColumnRenamed("component", "evidence_id"), "evidence_id"))
 
 

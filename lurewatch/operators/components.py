@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from lurewatch.session import cut_lineage
 
 
-def followed(pointers: DataFrame) -> DataFrame:
-    """pointers(component, root) with every pointer followed to its end; the distance doubles per step."""
-    while True:
+def followed(pointers: DataFrame, steps: int = 64) -> DataFrame:
+    """pointers(component, root) with every pointer followed to its end; the distance doubles per step, of which there are ``steps`` at most."""
+    for _ in range(steps):
         ends = pointers.select(F.col("component").alias("root"), F.col("root").alias("end"))
         step = cut_lineage(pointers.join(ends, "root").select("component", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")))
         pointers = step.select("component", "root")
         if step.where("moved").isEmpty():
-            return pointers
+            break
+    return pointers
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
