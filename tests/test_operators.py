@@ -84,3 +84,26 @@ def test_metrics(spark):
     auc = sum((p > n) + 0.5 * (p == n) for p, n in pairs) / len(pairs)
     assert abs(metrics.roc_auc(df).first()[0] - auc) < 1e-12
     assert tuple(metrics.confusion(df).first()) == (2, 1, 1, 2)
+
+
+def test_similar_texts_counts_copies_once(spark):
+    """Rows of one text, and texts beside empty ones, give each pair once, also of hashed shingles."""
+    words = [[f"w{i}" for i in range(20)], [f"w{i}" for i in range(1, 21)], [f"v{i}" for i in range(9)], []]
+    rows = [(f"t{i}", x) for i, x in enumerate(words)] * 3
+    df = spark.createDataFrame(rows, "text_id string, shingles array<string>")
+    got = [tuple(r) for r in campaigns.similar_texts(df).collect()]
+    assert got == [("t0", "t1", 19 / 21)]
+    hashed = df.withColumn("shingles", F.transform("shingles", lambda s: F.xxhash64(s)))
+    assert [tuple(r) for r in campaigns.similar_texts(hashed).collect()] == got
+
+
+def test_wording_rows_are_made_behind_the_exchange(spark):
+    """What is shuffled of a campaign's wording is arrays, not a row for each shingle."""
+    rows = [("c", i, [f"s{j}" for j in range(i % 3, 200)]) for i in range(30)]
+    members = spark.createDataFrame(rows, "campaign_id string, message_id long, shingles array<string>")
+    found = campaigns.traits_wording(members)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, s in enumerate(plan) if "explode(hashed" in s) < next(i for i, s in enumerate(plan) if "RepartitionByExpression" in s)
+    k = [sum(j >= i % 3 for i in range(30)) for j in range(200)]
+    want = sum((k[j] - 1) / (200 - i % 3) for i in range(30) for j in range(i % 3, 200)) / (30 * 29)
+    assert abs(found.first()["mean"] - want) < 1e-9
