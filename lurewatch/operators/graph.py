@@ -38,24 +38,37 @@ def reach(employees: DataFrame) -> DataFrame:
     return own.unionByName(inside)
 
 
+def _reaches(service: str) -> list[str]:
+    """The departments that reach a service: all of them the portal, the others by access or by what is stored in it."""
+    holders = {b: a for a, b, relation in DEPENDENCIES if relation == "stores"}
+    return [d for d, own in ACCESS.items() if service == "idp" or holders.get(service, service) in own]
+
+
+def _known(employees: DataFrame) -> DataFrame:
+    """(employee_id, n, r): a row for each id, its number of rows, and for each service the number of rows that reach it. The
+    access list is a fixed table, so nothing is joined; an id that occurs more than once keeps the rows that joins would give."""
+    counted = employees.groupBy("employee_id").agg(F.count("*").cast("int").alias("n"), *[
+        F.count_if((F.col("department") == d) & F.col("employee_id").isNotNull()).cast("int").alias(d) for d in ACCESS])
+    rows = [sum((F.col(f"`{d}`") for d in _reaches(i)), F.lit(0)).alias(i) for i, *_ in SERVICES]
+    return counted.select("employee_id", "n", F.struct(*rows).alias("r"))
+
+
+def _repeated(rows: DataFrame, times) -> DataFrame:
+    return rows.withColumn("__times", F.explode(F.array_repeat(F.lit(0), times))).drop("__times")
+
+
 def nodes(employees: DataFrame) -> DataFrame:
     """(employee_id, node, kind, at_risk): every service, marked when reachable, and the colleagues node."""
-    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("node"), F.lit(
-        k if k in ("identity_provider", "data") else "service").alias("kind")) for i, _, k, _ in SERVICES]))
-    every = employees.select("employee_id", listed.alias("s")).select("employee_id", "s.*")
-    reached = reach(employees).withColumnRenamed("service_id", "node").withColumn("hit", F.lit(True))
-    services = every.join(reached, ["employee_id", "node"], "left").select(
-        "employee_id", "node", "kind", F.coalesce("hit", F.lit(False)).alias("at_risk"))
-    mailbox = services.where("node = 'mail'").select("employee_id", F.lit("colleagues").alias("node"), F.lit("people").alias("kind"), "at_risk")
-    return services.unionByName(mailbox)
+    listed = [(i, k if k in ("identity_provider", "data") else "service", i) for i, _, k, _ in SERVICES] + [("colleagues", "people", "mail")]
+    every = _known(employees).select("employee_id", "n", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("node"), F.lit(k).alias("kind"), F.col("r")[of].alias("hits")) for i, k, of in listed])).alias("s")).select("employee_id", "n", "s.*")
+    return _repeated(every, F.col("n") * F.greatest("hits", F.lit(1))).select("employee_id", "node", "kind", (F.col("hits") > 0).alias("at_risk"))
 
 
 def edges(employees: DataFrame) -> DataFrame:
     """(employee_id, source, target, lit): an edge is lit when both its ends are at risk."""
-    fixed = [*[(a, b) for a, b, _ in DEPENDENCIES], *[(i, "colleagues") for i, _, k, _ in SERVICES if k == "email"]]
-    listed = F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in fixed]))
-    drawn = employees.select("employee_id", listed.alias("e")).select("employee_id", "e.*")
-    state = nodes(employees).select("employee_id", "node", "at_risk")
-    x, y = state.withColumnsRenamed({"node": "source", "at_risk": "x"}), state.withColumnsRenamed({"node": "target", "at_risk": "y"})
-    return drawn.join(x, ["employee_id", "source"]).join(y, ["employee_id", "target"]).select(
-        "employee_id", "source", "target", (F.col("x") & F.col("y")).alias("lit"))
+    fixed = [*[(a, b, a, b) for a, b, _ in DEPENDENCIES], *[(i, "colleagues", i, "mail") for i, _, k, _ in SERVICES if k == "email"]]
+    drawn = _known(employees.where("employee_id is not null")).select("employee_id", "n", F.explode(F.array(*[F.struct(
+        F.lit(a).alias("source"), F.lit(b).alias("target"), F.col("r")[x].alias("x"), F.col("r")[y].alias("y")) for a, b, x, y in fixed])).alias("e")).select("employee_id", "n", "e.*")
+    ends = F.greatest("x", F.lit(1)) * F.greatest("y", F.lit(1))
+    return _repeated(drawn, F.col("n") * F.col("n") * F.col("n") * ends).select("employee_id", "source", "target", ((F.col("x") > 0) & (F.col("y") > 0)).alias("lit"))

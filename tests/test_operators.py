@@ -5,9 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from lurewatch.operators import campaigns, metrics
+from lurewatch.operators import campaigns, graph, metrics
 from lurewatch.operators.asof import latest_before
 from lurewatch.operators.components import connected_components
+from lurewatch.sources import mailfiles
 
 
 def components(n, edges):
@@ -107,3 +108,23 @@ def test_wording_rows_are_made_behind_the_exchange(spark):
     k = [sum(j >= i % 3 for i in range(30)) for j in range(200)]
     want = sum((k[j] - 1) / (200 - i % 3) for i in range(30) for j in range(i % 3, 200)) / (30 * 29)
     assert abs(found.first()["mean"] - want) < 1e-9
+
+
+def test_blast_edges_join_nothing(spark):
+    """Ids that are null or occur twice give the rows that joins on the id would give."""
+    rows = [(1, "Finance"), (2, "Sales"), (2, "IT"), (None, "IT"), (3, None), (4, "Elsewhere")]
+    found = graph.edges(spark.createDataFrame(rows, "employee_id long, department string"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["employee_id"], r["source"], r["target"]): (r["lit"], r["count"]) for r in found.groupBy(*found.columns).count().collect()}
+    assert len(got) == 4 * 15 and got[1, "books", "ledger_data"] == (True, 1) and got[1, "crm", "customer_data"] == (False, 1)
+    assert got[2, "idp", "mail"] == (True, 2 * 4 * 4) and got[2, "idp", "admin"] == (True, 2 * 4 * 2) and got[2, "hr", "payroll_data"] == (False, 8)
+    assert {got[i, "idp", "mail"] for i in (3, 4)} == {(False, 1)}
+
+
+def test_mails_are_parsed_in_bounded_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    mail = b"From: a@b.test\r\nSubject: x\r\n\r\nbody"
+    parsed = mailfiles.parse(spark.createDataFrame([("1", mail), ("2", b"")], "id string, content binary"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert {(r["id"], r["sender"], r["error"]) for r in parsed.collect()} == {("1", "a@b.test", None), ("2", None, "not a mail")}
