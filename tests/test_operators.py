@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lurewatch.operators import campaigns, graph, metrics
 from lurewatch.operators.asof import latest_before
 from lurewatch.operators.components import connected_components
+from lurewatch.session import cut_lineage
 from lurewatch.sources import mailfiles
 
 
@@ -128,3 +129,15 @@ def test_mails_are_parsed_in_bounded_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert {(r["id"], r["sender"], r["error"]) for r in parsed.collect()} == {("1", "a@b.test", None), ("2", None, "not a mail")}
+
+
+def test_kept_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    kept = cut_lineage(spark.range(40).withColumn("v", F.lit("x")).mapInPandas(run, "id long, v string"))
+    assert kept.agg(F.sum("id")).first()[0] == 780 and kept.columns == ["id", "v"] and seen.value == 40
