@@ -10,6 +10,7 @@ from lurewatch.operators.asof import latest_before
 from lurewatch.operators.components import connected_components
 from lurewatch.session import cut_lineage
 from lurewatch.sources import mailfiles
+from lurewatch.sources.tables import Tables
 
 
 def components(n, edges):
@@ -141,3 +142,11 @@ def test_kept_rows_are_computed_once(spark):
 
     kept = cut_lineage(spark.range(40).withColumn("v", F.lit("x")).mapInPandas(run, "id long, v string"))
     assert kept.agg(F.sum("id")).first()[0] == 780 and kept.columns == ["id", "v"] and seen.value == 40
+
+
+def test_mails_are_dealt_out_before_the_rules(spark, tmp_path):
+    """A table of one row group is no single task."""
+    spark.range(500).selectExpr("id as doc_id", "'some text' as text", "'en' as lang", "'s' as source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(9).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    sizes = Tables(spark, str(tmp_path)).dealt_messages.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 8 and sum(r["count"] for r in sizes) == 500 and max(r["count"] for r in sizes) < 250
