@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lurewatch.operators import campaigns, graph, metrics
+from lurewatch.operators import campaigns, graph, metrics, rules
 from lurewatch.operators.asof import latest_before
 from lurewatch.operators.components import connected_components
 from lurewatch.session import cut_lineage
@@ -150,3 +150,14 @@ def test_mails_are_dealt_out_before_the_rules(spark, tmp_path):
     spark.range(9).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     sizes = Tables(spark, str(tmp_path)).dealt_messages.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 8 and sum(r["count"] for r in sizes) == 500 and max(r["count"] for r in sizes) < 250
+
+
+def test_employees_are_dealt_out(spark):
+    """The names of a table of one row group are no single task; ids and names that are null or come twice change nothing."""
+    people = [(i, f"Ada Vale{i}", "Clerk") for i in range(400)] + [(7, "Ada Vale7", "Clerk"), (900, "Ada Vale7", "Boss"), (None, None, None)]
+    staff = spark.createDataFrame(people, "employee_id long, name string, title string").coalesce(1)
+    mails = [(1, "Ada Vale7", "x@far.test"), (2, "Vale399 Ada", "x@far.test"), (3, "Someone Else", "x@far.test"), (4, None, "x@far.test")]
+    found = rules.colleague_hits(spark.createDataFrame(mails, "message_id long, sender_name string, sender string"), staff)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 8, true" in plan and "strategy=merge" in plan
+    assert sorted((r["message_id"], "Ada Vale7" in r["signal"]["evidence"]) for r in found.collect()) == [(1, True), (2, False)]
