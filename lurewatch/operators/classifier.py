@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, SQLTransformer, VectorAssembler
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.functions import text as txt
+from lurewatch.session import cut_lineage
 
 C = 4.0
 
@@ -30,39 +33,69 @@ def with_grams(texts: DataFrame) -> DataFrame:
     padded = F.transform(F.split("text", " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def grams(w):
-        return F.flatten(F.transform(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: i + n - 1 <= F.length(w)),
-            lambda i: F.substring(w, i, n))))
+        size = F.length(w)
+        return F.flatten(F.transform(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: F.when(size >= n, F.transform(
+            F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))))
 
     return texts.withColumns({"words": words, "chars": F.flatten(F.transform(padded, grams))})
 
 
-def features(bits: int = 18) -> list:
+def terms(bits: int = 18) -> list:
     size = 1 << bits
     return [
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS word_terms FROM __THIS__"),
         HashingTF(inputCol="word_terms", outputCol="word_tf", numFeatures=size),
         HashingTF(inputCol="chars", outputCol="char_tf", numFeatures=size),
+    ]
+
+
+def features() -> list:
+    return [
         IDF(inputCol="word_tf", outputCol="word_idf"), IDF(inputCol="char_tf", outputCol="char_idf"),
         Normalizer(inputCol="word_idf", outputCol="word_vec"), Normalizer(inputCol="char_idf", outputCol="char_vec"),
         VectorAssembler(inputCols=["word_vec", "char_vec"], outputCol="features"),
     ]
 
 
-def train(prepared: DataFrame, bits: int = 18) -> PipelineModel:
+@dataclass(frozen=True)
+class Model:
+    """Terms of a text, and what was learned over their counts."""
+
+    counted: PipelineModel
+    fitted: PipelineModel
+
+
+_TERMS = ("words", "chars", "pairs", "word_terms")
+_VECTORS = ("word_tf", "char_tf", "word_idf", "char_idf", "word_vec", "char_vec", "features", "rawPrediction", "probability", "prediction")
+
+
+def term_counts(texts: DataFrame, bits: int = 18) -> tuple[PipelineModel, DataFrame]:
+    """The terms of each text, counted once and kept in the shared folder: every step of the training reads them again."""
+    grams = with_grams(texts)
+    counting = Pipeline(stages=terms(bits)).fit(grams)
+    return counting, cut_lineage(counting.transform(grams).drop(*_TERMS))
+
+
+def train(prepared: DataFrame, bits: int = 18) -> Model:
+    return train_on(*term_counts(prepared, bits))
+
+
+def train_on(counting: PipelineModel, counted: DataFrame) -> Model:
     """Both classes get the same total weight."""
-    n = prepared.groupBy("label").agg(F.count("*").alias("n"))
+    n = counted.groupBy("label").agg(F.count("*").alias("n"))
     sums = {r["label"]: r["n"] for r in n.collect()}  # two rows
     total = sum(sums.values())
     weight = F.when(F.col("label") == 1, total / (2.0 * sums.get(1, 1))).otherwise(total / (2.0 * sums.get(0, 1)))
     regression = LogisticRegression(weightCol="weight", regParam=1.0 / (C * total), elasticNetParam=0.0, maxIter=30)
-    grams = with_grams(prepared).withColumn("weight", weight).withColumn("label", F.col("label").cast("double"))
-    return Pipeline(stages=[*features(bits), regression]).fit(grams)
+    rows = counted.select(weight.alias("weight"), F.col("label").cast("double").alias("label"), "word_tf", "char_tf")
+    return Model(counting, Pipeline(stages=[*features(), regression]).fit(rows))
 
 
-def predict(model: PipelineModel, texts: DataFrame) -> DataFrame:
+def predict(model: Model, texts: DataFrame) -> DataFrame:
     """Adds score, the probability of the positive class."""
-    return model.transform(with_grams(texts)).withColumn("score", vector_to_array("probability")[1]).drop(
-        "words", "chars", "pairs", "word_terms", "word_tf", "char_tf", "word_idf", "char_idf", "word_vec", "char_vec",
-        "features", "rawPrediction", "probability", "prediction")
+    return predict_counted(model, model.counted.transform(with_grams(texts)).drop(*_TERMS))
+
+
+def predict_counted(model: Model, counted: DataFrame) -> DataFrame:
+    return model.fitted.transform(counted).withColumn("score", vector_to_array("probability")[1]).drop(*_VECTORS)

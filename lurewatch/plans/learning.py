@@ -86,23 +86,29 @@ query("agg_system_vs_model", """
 SELECT risk >= 1 AS flagged, (m.message_id * 37 % 101) / 101.0 >= 0.5 AS model, count(*) AS n FROM v_risk m GROUP BY ALL""")(
     lambda t: t.scored.groupBy((F.col("risk") >= 1).alias("flagged"), (((F.col("message_id") * 37) % 101) / 101.0 >= 0.5).alias("model")).agg(F.count("*").alias("n")))
 
-_models: dict[tuple, object] = {}
+_models: dict[tuple, tuple[classifier.Model, DataFrame]] = {}
 
 
-def model(t: Tables):
+def trained(t: Tables) -> tuple[classifier.Model, DataFrame]:
+    """The classifier, and the counted terms of the corpus that it learned from."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _models:
-        _models[key] = classifier.train(classifier.prepare(corpus(t)), bits=14)
+        counting, counted = classifier.term_counts(classifier.prepare(corpus(t)), bits=14)
+        _models[key] = classifier.train_on(counting, counted), counted
     return _models[key]
 
 
+def model(t: Tables) -> classifier.Model:
+    return trained(t)[0]
+
+
 def mail_scores(t: Tables) -> DataFrame:
     texts = t.messages.select("message_id", txt.masked(txt.mail_text(F.col("subject"), F.col("body_text"))).alias("text"))
     return classifier.predict(model(t), texts).select("message_id", "score")
 
 
 query("ml_features")(lambda t: classifier.with_grams(classifier.prepare(corpus(t))).select("key", F.size("words").alias("words"), F.size("chars").alias("chars")))
-query("ml_train")(lambda t: classifier.predict(model(t), classifier.prepare(corpus(t))).select("key", "label", F.round("score", 4).alias("score")))
+query("ml_train")(lambda t: classifier.predict_counted(*trained(t)).select("key", "label", F.round("score", 4).alias("score")))
 query("ml_predict")(lambda t: mail_scores(t))
 query("sig_ml_text")(lambda t: mail_scores(t).select("message_id", fusion.ml_signal(F.col("score"), True).alias("s")).where("s is not null").select("message_id", "s.*"))
 

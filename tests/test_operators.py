@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lurewatch.operators import campaigns, graph, metrics, rules
+from lurewatch.operators import campaigns, classifier, graph, metrics, rules
 from lurewatch.operators.asof import latest_before
 from lurewatch.operators.components import connected_components
 from lurewatch.session import cut_lineage
@@ -161,3 +161,27 @@ def test_employees_are_dealt_out(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 8, true" in plan and "strategy=merge" in plan
     assert sorted((r["message_id"], "Ada Vale7" in r["signal"]["evidence"]) for r in found.collect()) == [(1, True), (2, False)]
+
+
+def test_training_reads_its_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    words = ["offer money prize", "meeting notes report"]
+    rows = [(i, "s", f"text {i} of class {words[i % 2]}", i % 2) for i in range(40)]
+    kinds = "key long, source string, text string, label int"
+    texts = spark.createDataFrame(rows, kinds)
+    model = classifier.train(texts.mapInPandas(run, kinds), bits=6)
+    assert seen.value == 40
+    scored = {r["key"]: r["score"] for r in classifier.predict(model, texts).collect()}
+    assert all((scored[i] > 0.5) == (i % 2 == 1) for i in range(40))
+
+
+def test_character_grams(spark):
+    found = classifier.with_grams(spark.createDataFrame([("ab  cdef x",), (None,)], "text string")).collect()
+    want = [w[i : i + n] for w in (" ab ", "  ", " cdef ", " x ") for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    assert found[0]["chars"] == want and found[1]["chars"] is None
