@@ -209,12 +209,14 @@ def _spans(corpus: _Corpus, bits: int) -> DataFrame:
     wanted = corpus.seeded.select("node", "again").join(hot, "node", "left").where("again OR hot IS NOT NULL").drop("again")
     runs = stored(corpus.first_texts(wanted).mapInArrow(
         _with(_candidates, corpus.window, bits), "node long, place long, starts array<long>, edges array<long>"), "runs")
+    removed(corpus.seeded)  # tables go as soon as nothing reads them
     every = runs.mapInArrow(_occurrences, "edge long, after long, place long, node long, start long")
     graph = stored(_graph(every.select("edge", "after", "place")), "graph")
     paths = stored(_paths(graph), "paths")
+    removed(graph)
     found = stored(every.select("edge", "place", "node", "start").join(paths, "edge").select(
         "node", "start", "length", "path", (F.col("place") > F.col("path")).alias("later")), "spans")
-    removed(corpus.seeded, runs, graph, paths)
+    removed(runs, paths)
     return found
 
 

@@ -85,3 +85,25 @@ def test_string_keys(spark):
     got = substrings.without_repeats(docs, key="name", text="body").orderBy("name").select("name", "n_removed").collect()
     assert [tuple(r) for r in got] == [("a", 0), ("b", 25)]
     assert docs.select(F.count("*")).first()[0] == 2
+
+
+def test_tables_go_before_the_last_exchange(spark, monkeypatch):
+    """When occurrences are looked up, the seeds and the graph are gone from the disk."""
+    from pathlib import Path
+
+    held, left = {}, {}
+    plain_stored = substrings.stored
+
+    def watched(df, name):
+        if name == "spans":
+            left.update({n: any(Path(f.removeprefix("file://")).exists() for f in files) for n, files in held.items()})
+        kept = plain_stored(df, name)
+        held[name] = kept.inputFiles()
+        return kept
+
+    monkeypatch.setattr(substrings, "stored", watched)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, "a " + words), (2, "a " + words), (None, "b " + words)]
+    found = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert plain(found) == scanned(rows)
+    assert held["classes"] and held["graph"] and left == {"classes": False, "runs": True, "graph": False, "paths": True}
