@@ -7,7 +7,8 @@ the row key, the part's place in the text and the step, so a row gets the same p
 
 The vocabulary is a public file, its path a parameter; it is never trained here. Its weights are Zipf weights of the
 piece ranks to the power ``theta`` (higher: nearer to the single best segmentation). One narrow pass over whole texts, a
-batch of rows at a time: each distinct part of a batch is filtered once, all its occurrences are drawn side by side.
+batch of rows at a time: a task keeps the lattices of the parts that it met last, so a part that comes again is not filtered
+again, and all parts of a batch are drawn side by side.
 
 Defined results: a null text has null pieces and n_pieces 0; an empty text has no pieces; both count as lossless.
 Repeated rows get equal pieces; a null key counts as the text "None"; other columns are ignored.
@@ -16,9 +17,10 @@ Repeated rows get equal pieces; a null key counts as the text "None"; other colu
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from lurewatch.llm.common import give_back
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 0
 #: Texts are sampled together up to about so many characters, which bounds the lattices in memory.
-TOGETHER = 60_000
+TOGETHER = 120_000
+#: A task keeps the lattices of parts of about so many characters; beyond that it begins afresh. This changes no result.
+KEPT = 800_000
 _PARTS = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+")
 _SPACE, _COVER = "▁", (1 << 21) - 1  # a literal space mark in the text is no piece
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -40,15 +44,55 @@ _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 @dataclass(frozen=True)
 class Vocabulary:
     """The pieces as a trie: ``keys`` holds node << 21 | code point in order, the child of entry k is node k + 1, and
-    ``ends`` gives the piece that a node spells, or -1."""
+    ``ends`` gives the piece that a node spells, or -1. ``slots`` holds the entries by a hash of their keys (-1: none)."""
 
     keys: np.ndarray
+    slots: np.ndarray
     ends: np.ndarray
     weights: np.ndarray
     byte_ids: list[int]
     spelled: list[bytes]
     longest: int
 
+    @cached_property
+    def least(self) -> float:
+        """The weight of a character that no piece covers."""
+        return self.weights[self.weights > 0].min(initial=1.0) * 1e-3
+
+    @cached_property
+    def lifts(self) -> np.ndarray:
+        """The factors of a piece by its number of characters."""
+        used = self.weights[self.weights > 0]
+        return np.array([(float(np.median(used) ** -0.4) if len(used) else 1.0) ** size for size in range(self.longest + 1)])
+
+    def entries(self, key: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        slot = _slot(key, len(self.slots))
+        entry = self.slots[slot]
+        open_ = np.flatnonzero((entry >= 0) & (self.keys[entry] != key))
+        while len(open_):  # another key has the slot: the next one
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            entry[open_] = self.slots[slot[open_]]
+            open_ = open_[(entry[open_] >= 0) & (self.keys[entry[open_]] != key[open_])]
+        return entry
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * _GOLD) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A table of a power of two of slots, a quarter full at most; a key lies in the first free slot from its hash on."""
+    slots = np.full(1 << (4 * len(keys) + 1).bit_length(), -1, np.int64)
+    at, left = _slot(keys, len(slots)), np.arange(len(keys))
+    while len(left):
+        taken = slots[at[left]] >= 0
+        slots[at[left[~taken][::-1]]] = left[~taken][::-1]  # the first of several
+        left = left[slots[at[left]] != left]
+        at[left] = (at[left] + 1) & (len(slots) - 1)
+    return slots
+
 
 def trie(pieces: dict[str, int], weights: np.ndarray, byte_ids: list[int], spelled: list[bytes]) -> Vocabulary:
     prefixes = sorted({name[:k] for name in pieces for k in range(1, len(name) + 1)}, key=lambda x: (len(x), x))
@@ -60,7 +104,8 @@ def trie(pieces: dict[str, int], weights: np.ndarray, byte_ids: list[int], spell
             number[x] = len(ends)
             keys.append(parent << 21 | point)
             ends.append(pieces.get(x, -1))
-    return Vocabulary(np.array(keys, np.int64), np.array(ends, np.int32), weights, byte_ids, spelled, max(map(len, pieces), default=1))
+    held = np.array(keys, np.int64)
+    return Vocabulary(held, _slots(held), np.array(ends, np.int32), weights, byte_ids, spelled, max(map(len, pieces), default=1))
 
 
 def vocabulary(model: str = MODEL, theta: float = THETA) -> Vocabulary:
@@ -87,12 +132,17 @@ def decode(ids, spelled: list[bytes]) -> str:
     return b"".join([spelled[i] for i in ids]).decode("utf-8")
 
 
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """A stable order; short numbers are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if numbers.max(initial=0) < 1 << 16 else numbers, kind="stable")
+
+
 class Lattices:
-    """The positions ("states") of some distinct parts. The edges of a state are the pieces that may end there, in the
-    order of states; their cumulative backward probabilities plus the number of the state ascend over the whole array, so
-    one search finds the edge for a draw. Piece -1 - c stands for the bytes of code point c."""
+    """The positions ("states") of some distinct parts, numbered from ``first``. The edges of a state are the pieces that may
+    end there, in the order of states; their cumulative backward probabilities plus the number of the state ascend over the
+    whole array, so one search finds the edge for a draw. Piece -1 - c stands for the bytes of code point c."""
 
-    def __init__(self, words: Vocabulary, parts: list[str]):
+    def __init__(self, words: Vocabulary, parts: list[str], first: int = 0):
         joined = "".join(parts)
         plain = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
         points = np.where(plain == ord(" "), ord(_SPACE), np.where(plain == ord(_SPACE), _COVER, plain))
@@ -108,8 +158,8 @@ class Lattices:
         stop, covered = stops[part], np.zeros(len(joined), bool)
         for size in range(1, words.longest + 1):
             key = node << 21 | points[at + size - 1]
-            entry = np.minimum(np.searchsorted(words.keys, key), len(words.keys) - 1)
-            alive = words.keys[entry] == key
+            entry = words.entries(key)
+            alive = entry >= 0
             at, node = at[alive], entry[alive] + 1
             piece = words.ends[node]
             spelled = piece >= 0
@@ -124,24 +174,21 @@ class Lattices:
         found.append((bare, np.ones(len(bare), np.int64), -1 - plain[bare]))
         begin, size, piece = (np.concatenate(x) for x in zip(*found))
         # A factor per character keeps the sums of usual parts near 1; it cancels in every ratio that is taken.
-        weight = np.where(piece >= 0, words.weights[np.maximum(piece, 0)], words.weights[words.weights > 0].min(initial=1.0) * 1e-3) * self._lift(words) ** size
+        weight = np.where(piece >= 0, words.weights[np.maximum(piece, 0)], words.least) * words.lifts[size]
         source = begin + part[begin]
         target = source + size
-        order = np.argsort(target, kind="stable")
+        order = _order(target)
         self.sources, target, self.pieces, weight = source[order], target[order], piece[order], weight[order]
         offset = target - (stops - sizes + np.arange(len(parts)))[part[begin[order]]]
-        self.bounds = self._forward(words, target, offset, weight, states, sizes, stops)
-
-    @staticmethod
-    def _lift(words: Vocabulary) -> float:
-        used = words.weights[words.weights > 0]
-        return float(np.median(used) ** -0.4) if len(used) else 1.0
+        self.bounds = self._forward(words, target, offset, weight, states, sizes, stops, first)
+        self.sources += first
+        self.ends += first
 
-    def _forward(self, words, target, offset, weight, states, sizes, stops) -> np.ndarray:
+    def _forward(self, words, target, offset, weight, states, sizes, stops, first) -> np.ndarray:
         sums, bounds = np.zeros(states), np.zeros(len(target))
         sums[self.starts] = 1.0
         first_state = stops - sizes + np.arange(len(sizes))
-        by_offset = np.argsort(offset, kind="stable")
+        by_offset = _order(offset)
         cuts = np.searchsorted(offset[by_offset], np.arange(1, int(sizes.max(initial=0)) + 2))
         for j in range(1, len(cuts)):
             edges = by_offset[cuts[j - 1] : cuts[j]]
@@ -154,7 +201,7 @@ class Lattices:
             upto = np.cumsum(share)
             upto -= (upto[heads] - share[heads])[group]
             upto[np.concatenate([heads[1:] - 1, [len(to) - 1]])] = 1.0
-            bounds[edges] = to + np.clip(upto, 0.0, 1.0)
+            bounds[edges] = (to + first) + np.clip(upto, 0.0, 1.0)
             sums[to[heads]] = totals
             if j % 32 == 0:  # long parts: divide the sums that are still needed by the newest one
                 long = first_state[sizes > j] + j
@@ -164,6 +211,47 @@ class Lattices:
         return bounds
 
 
+class Kept:
+    """Lattices one after another, each part's filtered when it is first met: a sequence of arrays that grow by doubling."""
+
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        self._begin()
+
+    def _begin(self) -> None:
+        self.end_of: dict[str, int] = {}
+        self.states = self.edges = 0
+        self.starts, self.sources, self.pieces, self.bounds = (np.zeros(0, kind) for kind in (bool, np.int32, np.int32, float))
+
+    def _grown(self, name: str, used: int, more: np.ndarray) -> None:
+        own = getattr(self, name)
+        if used + len(more) > len(own):
+            own = np.concatenate([own[:used], more, np.zeros(used and used + len(more), own.dtype)])
+            setattr(self, name, own)
+        own[used : used + len(more)] = more
+
+    def ends(self, parts: list[str]) -> np.ndarray:
+        """The last state of each part's lattice."""
+        found = np.fromiter(map(self.end_of.get, parts, repeat(-1)), np.int64, len(parts))
+        open_ = np.flatnonzero(found < 0)
+        new = list(dict.fromkeys([parts[k] for k in open_.tolist()]))
+        if new and self.states and self.states + sum(map(len, new)) > KEPT:
+            self._begin()
+            return self.ends(parts)
+        if new:
+            more = Lattices(self.words, new, self.states)
+            self.end_of.update(zip(new, more.ends.tolist()))
+            self._grown("starts", self.states, more.starts)
+            for name in ("sources", "pieces", "bounds"):
+                self._grown(name, self.edges, getattr(more, name))
+            self.states, self.edges = self.states + len(more.starts), self.edges + len(more.bounds)
+            found[open_] = [self.end_of[parts[k]] for k in open_.tolist()]
+        return found
+
+    def edge(self, points: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds[: self.edges], points, side="right")
+
+
 def _draws(seeds: np.ndarray, step: int) -> np.ndarray:
     """Uniform numbers in [0, 1) from a counter."""
     with np.errstate(over="ignore"):
@@ -187,16 +275,12 @@ def _with_bytes(ids: np.ndarray, row: np.ndarray, words: Vocabulary) -> tuple[np
     return out, np.repeat(row, times)
 
 
-def _drawn(words: Vocabulary, parts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _drawn(lattices: Kept, parts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all parts after one another, and the number of pieces of each part."""
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__
-    codes = np.array([number[part] for part in parts])
-    lattices = Lattices(words, list(number))
-    who, state, step, drawn = np.arange(len(codes)), lattices.ends[codes], 0, []
-    lengths, left = np.zeros(len(codes), np.int64), seeds
+    who, state, step, drawn = np.arange(len(parts)), lattices.ends(parts), 0, []
+    lengths, left = np.zeros(len(parts), np.int64), seeds
     while len(who):
-        edge = np.searchsorted(lattices.bounds, state + _draws(left, step), side="right")
+        edge = lattices.edge(state + _draws(left, step))
         drawn.append((who, lattices.pieces[edge]))
         lengths[who] += 1
         state = lattices.sources[edge]
@@ -209,7 +293,7 @@ def _drawn(words: Vocabulary, parts: list[str], seeds: np.ndarray) -> tuple[np.n
     return ids, lengths
 
 
-def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED, kept: Kept | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts after one another, and the number of pieces of each text. Parts are worked off in runs of
     about TOGETHER characters, so a long text takes no more memory than short ones."""
     split = [_PARTS.findall(text) for text in texts]
@@ -222,9 +306,10 @@ def sample(words: Vocabulary, keys: list, texts: list[str], seed: int = SEED) ->
     seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}") for k in keys], np.uint64)
     with np.errstate(over="ignore"):
         seeds = seeds[row] + _GOLD * place.astype(np.uint64)
-    runs = np.cumsum([len(part) for part in parts]) // TOGETHER
+    runs = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // TOGETHER
     cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(parts)]
-    found = [_drawn(words, parts[a:b], seeds[a:b]) for a, b in zip(cuts, cuts[1:])]
+    kept = kept or Kept(words)
+    found = [_drawn(kept, parts[a:b], seeds[a:b]) for a, b in zip(cuts, cuts[1:])]
     ids, row = np.concatenate([x for x, _ in found]), np.repeat(row, np.concatenate([x for _, x in found]))
     if (ids < 0).any():
         ids, row = _with_bytes(ids, row, words)
@@ -249,12 +334,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held.value
-        spelled = words.spelled
+        spelled, kept = words.spelled, Kept(words)
         for whole in batches:
             for rows in _cut(pc.utf8_length(whole.column(1)).to_pylist()):
                 batch = whole.slice(rows.start, rows.stop - rows.start)
                 keys, texts = batch.column(0), batch.column(1).to_pylist()
-                ids, counts = sample(words, keys.to_pylist(), [x or "" for x in texts], seed)
+                ids, counts = sample(words, keys.to_pylist(), [x or "" for x in texts], seed, kept)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 same = [x is None or decode(ids[a:b].tolist(), spelled) == x for x, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())]
                 lists = pa.ListArray.from_arrays(

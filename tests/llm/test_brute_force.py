@@ -434,6 +434,20 @@ def test_piece_distribution():
     assert set(seen) <= set(want) and max(abs(seen[w] / n - p / sum(want.values())) for w, p in want.items()) < 0.01
 
 
+def test_pieces_filter_a_part_once(monkeypatch):
+    words, made, own = pieces.vocabulary(), [], pieces.Lattices
+    assert (words.entries(words.keys) == np.arange(len(words.keys))).all() and (words.entries(words.keys + (1 << 50)) == -1).all()
+    texts = [f"this is a text {k % 7} of some words\t\u4e16{'ab' * (k % 5)}" for k in range(60)]
+    plain = [pieces.sample(words, [k], [text])[0].tolist() for k, text in enumerate(texts)]
+    monkeypatch.setattr(pieces, "Lattices", lambda words, parts, first: made.extend(parts) or own(words, parts, first))
+    for room in (10**6, 40):  # the second has no room for all parts
+        monkeypatch.setattr(pieces, "KEPT", room)
+        made.clear()
+        kept = pieces.Kept(words)
+        assert [pieces.sample(words, [k], [text], kept=kept)[0].tolist() for k, text in enumerate(texts)] == plain
+        assert (len(made) == len(set(made))) == (room > 40)
+
+
 def test_pipeline(spark, folder, docs):
     """Stages 1 to 3 by brute force; the last stage decodes to what they leave."""
     words = pieces.vocabulary()
