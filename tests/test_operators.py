@@ -1,14 +1,16 @@
 """Operators against brute force on small fixtures."""
 
+import glob
 import itertools
 import random
+import tempfile
 
 from pyspark.sql import functions as F
 
 from lurewatch.operators import campaigns, classifier, graph, metrics, rules
 from lurewatch.operators.asof import latest_before
 from lurewatch.operators.components import connected_components
-from lurewatch.session import cut_lineage
+from lurewatch.session import CLEANUP, cut_lineage
 from lurewatch.sources import mailfiles
 from lurewatch.sources.tables import Tables
 
@@ -34,6 +36,17 @@ def test_connected_components(spark):
     assert got == want
 
 
+def test_a_kept_view_leaves_no_shuffle_files(spark):
+    folder = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    found = lambda: set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*"))
+    before, way = found(), spark.conf.get(CLEANUP)
+    rows = spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    assert cut_lineage(rows).agg(F.sum("n")).first()[0] == 1000 and spark.conf.get(CLEANUP) == way
+    kept = found() - before
+    cut_lineage(rows)
+    assert found() - before == kept and rows.count() == 10
+
+
 def test_similar_texts_equals_all_pairs(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(30)]
