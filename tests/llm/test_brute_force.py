@@ -238,6 +238,20 @@ def test_recurrent_gradients():
             assert (above - below) / (2 * step) == pytest.approx(grads[name][at], abs=1e-3), (name, at)
 
 
+def test_states_of_a_step_equal_plain_ones():
+    """Bit by bit, also where exponentials overflow."""
+    draw, h = np.random.default_rng(8), 5
+    for size in (1, 200):
+        inputs, recurrent = (draw.normal(0, size, (n, 3 * h)).astype(np.float32) for n in (9, h))
+        reads, s = draw.integers(0, 9, 60), draw.uniform(-1, 1, (60, h)).astype(np.float32)
+        gate, own = inputs[reads], s @ recurrent
+        with np.errstate(over="ignore"):
+            both = 1 / (1 + np.exp(-(gate[:, : 2 * h] + own[:, : 2 * h])))
+            got = gru._step(gru._by_gate(inputs).take(reads, axis=1), s, gru._by_gate(recurrent))
+        new = np.tanh(gate[:, 2 * h :] + both[:, h:] * own[:, 2 * h :])
+        assert (got == new + both[:, :h] * (s - new)).all()
+
+
 def test_state_goes_on_over_windows(monkeypatch):
     model = gru.start(np.array([9.0, 8, 7, 6, 5]), hidden=4, classes=2)
     draw = np.random.default_rng(2)
