@@ -2,9 +2,12 @@
 
 import glob
 import itertools
+import math
 import random
+import re
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lurewatch.operators import campaigns, classifier, graph, metrics, rules
@@ -113,6 +116,50 @@ def test_similar_texts_counts_copies_once(spark):
     assert [tuple(r) for r in campaigns.similar_texts(hashed).collect()] == got
 
 
+def test_prefixes_come_in_slices_of_one_order(spark):
+    """Of every text the first shingles, frequent ones last, also where shingles differ in their last bits alone; no shingle is in two slices."""
+    rng = random.Random(3)
+    frequent = np.array([7, -(1 << 62), 9, 1 << 61], np.int64)
+    texts = [rng.sample(range(-40, 40), 20) + frequent.tolist()[::2] if i % 2 else [rng.randrange(-(1 << 63), 1 << 63) for _ in range(30)] + frequent.tolist() for i in range(40)]
+    texts = [list(dict.fromkeys(x)) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, shingles array<long>")
+    slices = [campaigns._prefixes(df, frequent, 0.8, part).collect() for part in range(campaigns.SLICES)]
+    rank = {w: i + 1 for i, w in enumerate(frequent.tolist())}
+    want = set()
+    for i, x in enumerate(texts):
+        ordered = sorted(x, key=lambda w: (rank.get(w, 0), w % (1 << 64)))
+        want |= {(i, len(x), w, at) for at, w in enumerate(ordered[: len(x) - math.ceil(len(x) * 0.8) + 1])}
+    assert {tuple(r) for rows in slices for r in rows} == want and sum(map(len, slices)) == len(want)
+    words = [{r["w"] for r in rows} for rows in slices]
+    assert sum(map(len, words)) == len(set().union(*words)) and max(map(len, slices)) < len(want) / 2
+
+
+def test_texts_of_pairs_move_slice_by_slice(spark, monkeypatch):
+    """Neither all prefixes nor the texts of all pairs are shuffled at once: no table that is written holds more than its slice."""
+    rows = [(f"t{i:03}", [f"g{i // 4}w{j}" for j in range(i % 4, 40)]) for i in range(160)]
+    df = spark.createDataFrame(rows, "text_id string, shingles array<string>")
+    written = []
+
+    def kept(table):
+        out = cut_lineage(table)
+        written.append((tuple(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(campaigns, "cut_lineage", kept)
+    found = campaigns.similar_texts(df)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))}
+    for own in (("a", "b", "x", "y", "shared", "i", "j"), ("a", "b", "similarity")):
+        sizes = [n for columns, n in written if columns == own]
+        assert len(sizes) == campaigns.SLICES and max(sizes) < sum(sizes) * 0.6
+
+
+def test_wording_is_counted_in_partitions_that_stay(spark):
+    """The exchange has a number of partitions of its own, so that they are not joined until their rows are too many for one task."""
+    members = spark.createDataFrame([("c", 1, ["a"])], "campaign_id string, message_id long, shingles array<string>")
+    plan = campaigns.traits_wording(members)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[[^]]*\], \d+", plan)
+
+
 def test_wording_rows_are_made_behind_the_exchange(spark):
     """What is shuffled of a campaign's wording is arrays, not a row for each shingle."""
     rows = [("c", i, [f"s{j}" for j in range(i % 3, 200)]) for i in range(30)]
