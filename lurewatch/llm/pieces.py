@@ -35,7 +35,7 @@ THETA, SEED = 1.0, 0
 #: Texts are sampled together up to about so many characters, which bounds the lattices in memory.
 TOGETHER = 120_000
 #: A task keeps the lattices of parts of about so many characters; beyond that it begins afresh. This changes no result.
-KEPT = 800_000
+KEPT = 1_600_000
 _PARTS = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+")
 _SPACE, _COVER = "▁", (1 << 21) - 1  # a literal space mark in the text is no piece
 _GOLD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -139,8 +139,9 @@ def _order(numbers: np.ndarray) -> np.ndarray:
 
 class Lattices:
     """The positions ("states") of some distinct parts, numbered from ``first``. The edges of a state are the pieces that may
-    end there, in the order of states; their cumulative backward probabilities plus the number of the state ascend over the
-    whole array, so one search finds the edge for a draw. Piece -1 - c stands for the bytes of code point c."""
+    end there, in the order of states, the longest last; their cumulative backward probabilities plus the number of the state ascend
+    over the whole array. ``tops`` holds each state's last edge, counted from the first edge here; the edge for a draw is there or
+    a few before. Piece -1 - c stands for the bytes of code point c."""
 
     def __init__(self, words: Vocabulary, parts: list[str], first: int = 0):
         joined = "".join(parts)
@@ -180,6 +181,7 @@ class Lattices:
         order = _order(target)
         self.sources, target, self.pieces, weight = source[order], target[order], piece[order], weight[order]
         offset = target - (stops - sizes + np.arange(len(parts)))[part[begin[order]]]
+        self.tops = np.cumsum(np.bincount(target, minlength=states)) - 1
         self.bounds = self._forward(words, target, offset, weight, states, sizes, stops, first)
         self.sources += first
         self.ends += first
@@ -220,8 +222,9 @@ class Kept:
 
     def _begin(self) -> None:
         self.end_of: dict[str, int] = {}
-        self.states = self.edges = 0
-        self.starts, self.sources, self.pieces, self.bounds = (np.zeros(0, kind) for kind in (bool, np.int32, np.int32, float))
+        self.states, self.edges = 0, 1  # before the first edge stands one of no state, whose bound no draw is below
+        self.starts, self.tops = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.sources, self.pieces, self.bounds = (np.zeros(1, kind) for kind in (np.int32, np.int32, float))
 
     def _grown(self, name: str, used: int, more: np.ndarray) -> None:
         own = getattr(self, name)
@@ -242,14 +245,23 @@ class Kept:
             more = Lattices(self.words, new, self.states)
             self.end_of.update(zip(new, more.ends.tolist()))
             self._grown("starts", self.states, more.starts)
+            self._grown("tops", self.states, more.tops + self.edges)
             for name in ("sources", "pieces", "bounds"):
                 self._grown(name, self.edges, getattr(more, name))
             self.states, self.edges = self.states + len(more.starts), self.edges + len(more.bounds)
             found[open_] = [self.end_of[parts[k]] for k in open_.tolist()]
         return found
 
-    def edge(self, points: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds[: self.edges], points, side="right")
+    def edge(self, state: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Of each state the first edge whose bound is above the draw. Most draws are of its last edge or the one before, so they are
+        walked to from there."""
+        points, edge = state + draws, self.tops[state]
+        open_ = np.flatnonzero(self.bounds[edge - 1] > points)
+        while len(open_):
+            before = edge[open_] - 1
+            edge[open_] = before
+            open_ = open_[self.bounds[before - 1] > points[open_]]
+        return edge
 
 
 def _draws(seeds: np.ndarray, step: int) -> np.ndarray:
@@ -280,7 +292,7 @@ def _drawn(lattices: Kept, parts: list[str], seeds: np.ndarray) -> tuple[np.ndar
     who, state, step, drawn = np.arange(len(parts)), lattices.ends(parts), 0, []
     lengths, left = np.zeros(len(parts), np.int64), seeds
     while len(who):
-        edge = lattices.edge(state + _draws(left, step))
+        edge = lattices.edge(state, _draws(left, step))
         drawn.append((who, lattices.pieces[edge]))
         lengths[who] += 1
         state = lattices.sources[edge]

@@ -448,6 +448,21 @@ def test_piece_distribution():
     assert set(seen) <= set(want) and max(abs(seen[w] / n - p / sum(want.values())) for w, p in want.items()) < 0.01
 
 
+def test_draws_meet_edges_of_their_own_state():
+    """The edge of a draw is the first of its state whose bound is above it, and never one of the next state, however near to 1 the draw."""
+    kept = pieces.Kept(pieces.vocabulary())
+    ends = kept.ends([f" part{i} banana{i * 7919}" for i in range(9000)])
+    bounds, draw = kept.bounds[: kept.edges], np.random.default_rng(1)
+    target = np.ceil(bounds[1:]).astype(np.int64) - 1  # of each edge its state
+    states = np.unique(np.concatenate([ends, target]))
+    for draws in (draw.random(len(states)), np.zeros(len(states)), np.full(len(states), 1 - 2.0**-53)):
+        found = kept.edge(states, draws)
+        assert (target[found - 1] == states).all()
+        plain = np.minimum(np.searchsorted(bounds, states + draws, side="right"), kept.tops[states])
+        assert (found == plain).all()
+    assert (np.searchsorted(bounds, states + (1 - 2.0**-53), side="right") > kept.tops[states]).any()  # a search over all edges leaves the state
+
+
 def test_pieces_filter_a_part_once(monkeypatch):
     words, made, own = pieces.vocabulary(), [], pieces.Lattices
     assert (words.entries(words.keys) == np.arange(len(words.keys))).all() and (words.entries(words.keys + (1 << 50)) == -1).all()
