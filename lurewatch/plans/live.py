@@ -11,6 +11,7 @@ from lurewatch.plans import sql
 from lurewatch.plans.incidents import stamp
 from lurewatch.plans.registry import query
 from lurewatch.plans.response import tokens
+from lurewatch.session import dealt_out
 from lurewatch.sources.keyed import KeyedTable, newest
 from lurewatch.sources.tables import Tables
 from lurewatch.streaming import live
@@ -18,12 +19,13 @@ from lurewatch.streaming import live
 
 @query("st_score_on_delivery", "SELECT message_id, risk FROM v_risk")
 def st_score_on_delivery(t: Tables) -> DataFrame:
+    """Documents arrive; a batch is dealt out before it is parsed and the rules run, as in batch."""
     listed = rules.blocklist(t.spark)
 
     def score(batch: DataFrame) -> DataFrame:
-        return fusion.fuse(rules.detected(batch, t.employees, listed)).select("message_id", "risk")
+        return fusion.fuse(rules.detected(t.messages_of(dealt_out(batch)), t.employees, listed)).select("message_id", "risk")
 
-    return live.per_batch(t.messages_of(t.stream("documents")), "scored", score).select("message_id", "risk")
+    return live.per_batch(t.stream("documents"), "scored", score).select("message_id", "risk")
 
 
 @query("st_event_dedupe", "SELECT event_id, event_type FROM events")
