@@ -1,6 +1,15 @@
 """Queries that lost rows, failed or kept too much, on rows of their own."""
 
+import datetime as dt
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from lurewatch.operators import casebook
+from lurewatch.session import cut_lineage, shared_folder
 from lurewatch.sources.tables import Tables
 from lurewatch.streaming import live
 
@@ -34,3 +43,58 @@ def test_stream_reads_a_table_of_one_file(spark, tmp_path):
     (tmp_path / "one" / "documents.parquet").write_bytes(file.read_bytes())
     (tmp_path / "one" / "customer.parquet").symlink_to(f"{folder}/customer.parquet")
     assert live.to_table(Tables(spark, str(tmp_path / "one")).stream("documents"), "copied").count() == 24
+
+
+def drawn_cases(spark, seed, evidence=400, closings=60):
+    """Evidence (id, ts, employee, campaign) and containments of campaigns and of people, few of each so that much closes and opens again."""
+    draw = random.Random(seed)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=draw.randrange(10**6))
+    rows = [(i, at(), draw.randrange(12), draw.choice([None, None, "camp-1", "camp-2", "camp-3", "camp-4"])) for i in range(evidence)]
+    campaigns = [(f"camp-{draw.randrange(1, 5)}", at()) for _ in range(closings)]
+    people = [(draw.randrange(12), at()) for _ in range(closings)]
+    frames = (spark.createDataFrame(rows, "evidence_id long, ts timestamp, employee_id long, campaign_id string"),
+              spark.createDataFrame(campaigns, "campaign_id string, at timestamp"), spark.createDataFrame(people, "employee_id long, at timestamp"))
+    return rows, campaigns, people, frames
+
+
+def folded(rows, campaigns, people, follow):
+    """One happening after the other; with ``follow`` evidence whose campaign has no open incident goes to its employee's newest."""
+    happenings = [(ts, 1, i, who, camp) for i, ts, who, camp in rows]
+    happenings += [(at, 0, -1, None, camp) for camp, at in campaigns] + [(at, 0, -1, who, None) for who, at in people]
+    book, roots = {}, {}
+    for _, rank, i, who, camp in sorted(happenings, key=lambda h: h[:3]):
+        live_ones = [r for r, c in book.items() if c["open"]]
+        if rank == 0:
+            for r in live_ones:
+                if (camp is not None and book[r]["camp"] == camp) or who in book[r]["people"]:
+                    book[r]["open"] = False
+            continue
+        root = next((r for r in live_ones if camp is not None and book[r]["camp"] == camp), None)
+        if root is None and (follow or camp is None):
+            root = next((r for r in reversed(live_ones) if who in book[r]["people"]), None)
+        case = book.setdefault(i if root is None else root, {"open": True, "camp": None, "people": set()})
+        case["camp"] = case["camp"] or camp
+        case["people"].add(who)
+        roots[i] = i if root is None else root
+    return roots, {r: (c["camp"], "open" if c["open"] else "contained") for r, c in book.items()}
+
+
+@pytest.mark.parametrize("follow", [True, False])
+def test_routing_is_the_fold(spark, follow):
+    """Evidence of a campaign without an open incident follows its employee, and the campaign is filled in where none was."""
+    rows, campaigns, people, frames = drawn_cases(spark, 3)
+    roots, book = folded(rows, campaigns, people, follow)
+    routed = casebook.route(*frames, **({"follow": True} if follow else {}))
+    assert {r["evidence_id"]: r["root"] for r in routed.collect()} == roots
+    found = casebook.book(frames[0].withColumn("severity", F.lit(2)), routed, *frames[1:]).collect()
+    assert {r["root"]: (r["campaign_id"], r["status"]) for r in found} == book
+
+
+def test_routing_keeps_few_tables(spark):
+    """What stays on the disk must not grow with the containments that follow one another."""
+    views = lambda: len(os.listdir(f"{shared_folder(spark)}/views"))
+    *_, frames = drawn_cases(spark, 4)
+    cut_lineage(spark.range(1))
+    before = views()
+    casebook.route(*frames).collect()
+    assert views() - before <= 4
