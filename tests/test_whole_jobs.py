@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lurewatch.operators import casebook
+from lurewatch.operators import campaigns, casebook
 from lurewatch.session import cut_lineage, shared_folder
 from lurewatch.sources.tables import Tables
 from lurewatch.streaming import live
@@ -98,3 +98,27 @@ def test_routing_keeps_few_tables(spark):
     before = views()
     casebook.route(*frames).collect()
     assert views() - before <= 4
+
+
+def test_every_matching_pair_is_scored(spark):
+    """All pairs by host, by sender domain or by wording alone, within the window; not one for each mail and key."""
+    draw, rows = random.Random(5), []
+    for i in range(60):
+        words = list(range(20 * (i % 4), 20 * (i % 4) + 20))
+        for _ in range(i % 3):
+            words[draw.randrange(20)] = 1000 + i
+        shingles = sorted(set(words)) if i % 15 else []
+        text = "-".join(map(str, shingles)) or None
+        rows.append((i, draw.randrange(200_000), draw.choice(["", "", "a.example", "b.example"]), draw.sample(["h1", "h2", "h3", "h4", "h5"], draw.choice([0, 0, 1, 2])), text, shingles))
+    feats = spark.createDataFrame(rows, "message_id long, t long, sender_domain string, hosts array<string>, text_id string, shingles array<long>")
+    want = {}
+    for a in rows:
+        for b in rows:
+            near = len(set(a[5]) & set(b[5])) / max(1, len(set(a[5]) | set(b[5])))
+            score = 2 * bool(set(a[3]) & set(b[3])) + 2 * (a[2] == b[2] != "") + (2 if near >= 0.8 else 1 if near >= 0.5 else 0)
+            if (a[1], a[0]) < (b[1], b[0]) and b[1] - a[1] <= 86400 and score >= 2:
+                want[a[0], b[0]] = score
+    score, _ = campaigns.pair_score("x", "y", known=(F.col("host"), F.col("domain"), F.col("similarity")))
+    found = [tuple(r) for r in campaigns.matching_pairs(feats).select("x.message_id", "y.message_id", score).collect()]
+    assert {(a, b): s for a, b, s in found} == want and len(found) == len(want)
+    assert any(s == 2 and not set(rows[a][3]) & set(rows[b][3]) and "" in (rows[a][2], rows[b][2]) for a, b, s in found)  # by wording alone
