@@ -157,7 +157,8 @@ def src_eml_files(t: Tables) -> DataFrame:
     folder = f"{shared_folder(t.spark)}/mail-{uuid.uuid4().hex}"
     files = mailfiles.as_eml(t.messages)
     mailfiles.write_eml(files.withColumn("content", F.when(F.col("id").cast("bigint") % 50 == 49, F.encode(F.lit("just some text"), "UTF-8")).otherwise(F.col("content"))), folder)
-    read = cut_lineage(mailfiles.read_eml(t.spark, folder, "*.txt").withColumn("message_id", F.regexp_extract("id", "id=([0-9]+)", 1).cast("bigint")))
+    with mailfiles.many_files(t.spark):
+        read = cut_lineage(mailfiles.read_eml(t.spark, folder, "*.txt").withColumn("message_id", F.regexp_extract("id", "id=([0-9]+)", 1).cast("bigint")))
     mails = mailfiles.as_messages(read, t.employees).withColumn("message_id", F.regexp_extract("id", "id=([0-9]+)", 1).cast("bigint"))
     assessed = fusion.fuse(rules.detected(mails, t.employees, rules.blocklist(t.spark))).select(
         "message_id", F.col("risk").cast("int").alias("risk"), F.col("score").cast("int").alias("score"))

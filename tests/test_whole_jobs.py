@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lurewatch.operators import campaigns, casebook
+from lurewatch.plans.response import expanded_recipients
 from lurewatch.session import cut_lineage, shared_folder
+from lurewatch.sources import mailfiles
 from lurewatch.sources.tables import Tables
 from lurewatch.streaming import live
 
@@ -122,3 +124,28 @@ def test_every_matching_pair_is_scored(spark):
     found = [tuple(r) for r in campaigns.matching_pairs(feats).select("x.message_id", "y.message_id", score).collect()]
     assert {(a, b): s for a, b, s in found} == want and len(found) == len(want)
     assert any(s == 2 and not set(rows[a][3]) & set(rows[b][3]) and "" in (rows[a][2], rows[b][2]) for a, b, s in found)  # by wording alone
+
+
+def test_recipients_of_a_list(spark):
+    """Every mail to the list reaches all of its members once, others their first address; no shuffle tells the pairs apart."""
+    mails = [(1, 21, ["a@x.example"]), (1, 21, ["a@x.example"]), (2, 3, ["user2@x.example"]), (3, 21, []), (4, 5, ["nobody@x.example"]), (5, 1, [None]), (6, 1, ["user1@x.example"]), (6, 1, ["user2@x.example"])]
+    people = [(i, f"user{i}@x.example", "Management" if i % 3 == 0 else "Sales") for i in range(40)] + [(0, "user0@x.example", "Management")]
+    messages = spark.createDataFrame(mails, "message_id long, kind int, recipients array<string>")
+    employees = spark.createDataFrame(people, "employee_id long, email string, department string")
+    found = expanded_recipients(messages, employees)
+    rows = [tuple(r) for r in found.collect()]
+    members = range(0, 40, 3)
+    assert sorted(rows) == sorted([(i, m) for i in (1, 3) for m in members] + [(2, 2), (6, 1), (6, 2)])
+
+
+def test_mail_files_are_written_alone(spark, tmp_path):
+    """A file for each mail, and beside it no checksum, which costs as much as the file."""
+    files = spark.createDataFrame([(str(i), f"Subject: s{i}\r\n\r\nbody {i}".encode()) for i in range(30)], "id string, content binary")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    mailfiles.write_eml(files, str(tmp_path / "mail"))
+    written = [p for p in (tmp_path / "mail").rglob("*") if p.is_file() and p.name != "_SUCCESS"]
+    assert len(written) == 30 and {p.suffix for p in written} == {".txt"}
+    with mailfiles.many_files(spark):
+        read = mailfiles.read_eml(spark, str(tmp_path / "mail"), "*.txt").select("id", "subject", "error").collect()
+    assert {(r["id"].split("id=")[1].split("/")[0], r["subject"], r["error"]) for r in read} == {(str(i), f"s{i}", None) for i in range(30)}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
