@@ -4,11 +4,12 @@ import datetime as dt
 import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lurewatch.operators import campaigns, casebook
+from lurewatch.operators import campaigns, casebook, classifier
 from lurewatch.plans.response import expanded_recipients
 from lurewatch.session import cut_lineage, shared_folder
 from lurewatch.sources import mailfiles
@@ -149,3 +150,12 @@ def test_mail_files_are_written_alone(spark, tmp_path):
         read = mailfiles.read_eml(spark, str(tmp_path / "mail"), "*.txt").select("id", "subject", "error").collect()
     assert {(r["id"].split("id=")[1].split("/")[0], r["subject"], r["error"]) for r in read} == {(str(i), f"s{i}", None) for i in range(30)}
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_counted_terms_lie_in_small_groups(spark):
+    """A reader holds a row group unpacked, up to 4,096 rows; a text's counts are large."""
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("key"), F.lit("web").alias("source"), (F.col("id") % 2).alias("label"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.lit(120)), lambda i: F.substring(F.md5(F.concat(F.col("id").cast("string"), i.cast("string"))), 1, 9))).alias("text"))
+    _, counted = classifier.term_counts(texts, bits=14)
+    rows = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in counted.inputFiles()]
+    assert sum(m.num_rows for m in rows) == 3000 and max(m.row_group(i).num_rows for m in rows for i in range(m.num_row_groups)) < 1500
